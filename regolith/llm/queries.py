@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from regolith.llm import sharding
+from regolith.llm import bpe, sharding
 
 QUERIES = {
     "op1_hilbert_shards": sharding.op1_hilbert_shards,
+    "op3_byte_bpe": bpe.op3_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {}
