@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from regolith.llm import bpe, sharding
+from regolith.llm import bpe, packing, sharding
 
 QUERIES = {
     "op1_hilbert_shards": sharding.op1_hilbert_shards,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op8_cost_packing": packing.op8_cost_packing,
 }
 
 ORACLES: dict[str, str] = {}
