@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from regolith.llm import bpe, chat, langid, packing, quality, sharding
+from regolith.llm import bpe, chat, langid, neardup, packing, quality, sharding
 
 QUERIES = {
     "op1_hilbert_shards": sharding.op1_hilbert_shards,
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op5_minhash_neardup": neardup.op5_minhash_neardup,
     "op7_language_id": langid.op7_language_id,
     "op8_cost_packing": packing.op8_cost_packing,
     "op9_chat_format": chat.op9_chat_format,
