@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from regolith.llm import bpe, chat, langid, licenses, neardup, packing, quality, sharding
+from regolith.llm import bpe, chat, html, langid, licenses, neardup, packing, quality, sharding
 
 QUERIES = {
     "op1_hilbert_shards": sharding.op1_hilbert_shards,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_minhash_neardup": neardup.op5_minhash_neardup,
+    "op6_html_text": html.op6_html_text,
     "op7_language_id": langid.op7_language_id,
     "op8_cost_packing": packing.op8_cost_packing,
     "op9_chat_format": chat.op9_chat_format,
