@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from regolith.llm import bpe, chat, html, langid, licenses, neardup, packing, quality, sharding
+from regolith.llm import bpe, chat, html, langid, licenses, mtree, neardup, packing, quality, sharding
 
 QUERIES = {
     "op1_hilbert_shards": sharding.op1_hilbert_shards,
+    "op2_mtree_topk": mtree.op2_mtree_topk,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_license_scan": licenses.op4_license_scan,
     "op5_minhash_neardup": neardup.op5_minhash_neardup,
@@ -16,4 +17,4 @@ QUERIES = {
     "op10_quality_perplexity": quality.op10_quality_perplexity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_mtree_topk": mtree.ORACLE_OP2}
