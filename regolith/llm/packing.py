@@ -8,8 +8,10 @@ the lowest cost so far that has room. One that fits nowhere is cut over the chea
 from __future__ import annotations
 
 import functools
+import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regolith.llm.bpe import BATCH_BYTES, ChunkEncoder
+from regolith.llm.bpe import BATCH_BYTES, byte_chars
 from regolith.llm.common import table
 
 LENGTH = 2048
@@ -28,19 +30,53 @@ QUADRATIC = 2048
 #: A block is packed once it has so many documents, or so many bytes of ids.
 BLOCK, BLOCK_BYTES = 4096, 32 << 20
 END_ID = 1
+#: Characters of a word beyond which tiktoken isn't used.
+LONG_WORD = 2000
 #: Sequence ids: the partition's number, shifted, plus the sequence's number within it.
 SHIFT = 40
 
 
 @functools.cache
-def encoder(path: str) -> ChunkEncoder:
-    """From text to ids as little-endian unsigned 32-bit integers, one for each worker process."""
+def encoder(path: str) -> Callable[[str], bytes]:
+    """From text to ids as little-endian unsigned 32-bit integers, one for each worker process.
+
+    The ids are those of the tokenizers library for the file at `path`. Where the file is a byte-level BPE whose
+    ids follow its merges, tiktoken gives the same ids from its vocabulary in a quarter of the time; texts with a
+    word of over LONG_WORD characters, on which it is quadratic, and other files go to tokenizers itself."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return ChunkEncoder(lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+    exact = lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    ranks = byte_ranks(path)
+    if ranks is None:
+        return exact
+    import tiktoken
+
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    long_word = re.compile(rf"\S{{{LONG_WORD}}}").search
+
+    def encode(text: str) -> bytes:
+        return exact(text) if len(text) > LONG_WORD and long_word(text) else np.array(fast.encode_ordinary(text), "<u4").tobytes()
+
+    return encode
+
+
+def byte_ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary of a tokenizers file as byte strings by id, if it is a byte-level BPE of plain settings whose
+    entries' ids begin with all single bytes and go on in the order of the merges; else None."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer"):
+        return None
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    if [model["vocab"].get(m) for m in merged] != list(range(256, 256 + len(merged))):
+        return None
+    byte = {c: b for b, c in enumerate(byte_chars())}
+    special = {x["content"] for x in spec.get("added_tokens", [])}
+    return {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
 
 
 def balanced(lengths: list[int], capacity: int = LENGTH, quadratic: int = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
