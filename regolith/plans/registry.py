@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regolith.functions import names
-from regolith.operators import access, listings, metrics, references, registration, replication, resolution
+from regolith.functions import avro, names
+from regolith.operators import access, compatibility, listings, metrics, references, registration, replication, resolution
 from regolith.sources.derived import Registry, registry, with_relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -364,3 +364,54 @@ ASKED_HOSTS = [("a.example.com",), ("b.example.com",), ("x.org",), ("z.org",)]
 @query("SELECT host, container, error_code FROM (VALUES ('a.example.com', 'one', NULL), ('b.example.com', 'two', NULL), ('x.org', 'three', NULL), ('z.org', NULL, 42101)) t(host, container, error_code)")
 def host_containers(r: Registry) -> DataFrame:
     return access.route_hosts(frame(r, ASKED_HOSTS, "host string"), frame(r, HOSTS, "ordinal int, pattern string, container string"))
+
+
+#: A record schema for each id: a field `a`, and for two of three ids a field `b`, with a default for every other.
+FIELD_A = "CASE id % 7 WHEN 0 THEN 'int' WHEN 1 THEN 'long' WHEN 2 THEN 'float' WHEN 3 THEN 'double' WHEN 4 THEN 'string' WHEN 5 THEN 'bytes' ELSE 'boolean' END"
+FIELD_B = "CASE id % 5 WHEN 0 THEN 'int' WHEN 1 THEN 'long' WHEN 2 THEN 'float' WHEN 3 THEN 'double' ELSE 'string' END"
+AVRO = f"""concat('{{"type":"record","name":"R","fields":[{{"name":"a","type":"', {FIELD_A}, '"}}',
+    CASE WHEN id % 3 <> 0 THEN concat(',{{"name":"b","type":"', {FIELD_B}, '"', CASE WHEN id % 2 = 0 THEN CASE WHEN id % 5 = 4 THEN ',"default":""' ELSE ',"default":0' END ELSE '' END, '}}') ELSE '' END, ']}}')"""
+#: Whether the record of one id reads that of another, by the table of promotions.
+PROMOTED = "(r{0} = w{0} OR (w{0}, r{0}) IN (" + ", ".join(f"('{w}', '{r}')" for w, r in sorted(avro.PROMOTIONS)) + "))"
+READS = f"({PROMOTED.format('a')} AND CASE WHEN rb IS NULL THEN true WHEN wb IS NULL THEN rd ELSE {PROMOTED.format('b')} END)"
+SHAPES = f"(SELECT DISTINCT id, {FIELD_A} AS a, CASE WHEN id % 3 <> 0 THEN {FIELD_B} END AS b, id % 2 = 0 AS d FROM versions)"
+
+
+def history(r: Registry) -> tuple[DataFrame, DataFrame]:
+    """The newest version of every subject as a new schema, and the versions before it."""
+    rows = r.versions.select(F.concat_ws(":", "ctx", "subject").alias("key"), "version", F.expr(AVRO).alias("text"))
+    last = rows.groupBy("key").agg(F.max("version").alias("last"), F.max_by("text", "version").alias("text"))
+    before = rows.join(last.select("key", "last"), "key").where("version < last")
+    return last.select("key", "text", F.lit("AVRO").alias("type")), before.select("key", "version", F.col("text").alias("old_text"), F.lit("AVRO").alias("old_type"))
+
+
+PAIRS = f"""
+    WITH l AS (SELECT ctx, subject, max(version) AS last, arg_max(id, version) AS new_id FROM versions GROUP BY ctx, subject),
+         p AS (SELECT concat(v.ctx, ':', v.subject) AS key, v.version, l.last - 1 AS newest, n.a AS na, n.b AS nb, n.d AS nd, o.a AS oa, o.b AS ob, o.d AS od
+               FROM versions v JOIN l ON l.ctx = v.ctx AND l.subject = v.subject AND v.version < l.last JOIN {SHAPES} n ON n.id = l.new_id JOIN {SHAPES} o ON o.id = v.id),
+         q AS (SELECT key, version, newest,
+                      (SELECT {READS} FROM (SELECT na AS ra, nb AS rb, nd AS rd, oa AS wa, ob AS wb) x) AS reads_old,
+                      (SELECT {READS} FROM (SELECT oa AS ra, ob AS rb, od AS rd, na AS wa, nb AS wb) x) AS read_by_old FROM p)"""
+
+
+@query(f"{PAIRS} SELECT key, version, reads_old, read_by_old FROM q")
+def avro_readable(r: Registry) -> DataFrame:
+    new, old = history(r)
+    pairs = new.join(old, "key")
+    done = avro.with_readable(avro.with_readable(pairs, "text", "old_text", "reads_old"), "old_text", "text", "read_by_old")
+    return done.select("key", "version", "reads_old", "read_by_old")
+
+
+FAILS = {"NONE": "false", "BACKWARD": "NOT reads_old AND version = newest", "BACKWARD_TRANSITIVE": "NOT reads_old", "FORWARD": "NOT read_by_old AND version = newest", "FORWARD_TRANSITIVE": "NOT read_by_old",
+         "FULL": "NOT (reads_old AND read_by_old) AND version = newest", "FULL_TRANSITIVE": "NOT (reads_old AND read_by_old)"}
+
+
+@query(f"{PAIRS} " + " UNION ALL ".join(f"SELECT key, '{k}' AS level, count(*) FILTER ({v}) = 0 AS compatible, max(version) FILTER ({v}) AS failing_version FROM q GROUP BY key" for k, v in FAILS.items()))
+def avro_compatibility_levels(r: Registry) -> DataFrame:
+    new, old = history(r)
+    return compatibility.verdicts(new, old, avro.with_readable)
+
+
+@query(f"SELECT DISTINCT {AVRO} AS text, {AVRO} AS canonical, CAST(NULL AS VARCHAR) AS error FROM versions")
+def avro_canonical(r: Registry) -> DataFrame:
+    return avro.with_canonical(r.versions.select(F.expr(AVRO).alias("text")).distinct(), "text").select("text", "canonical", "error")
