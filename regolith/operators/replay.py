@@ -1,0 +1,249 @@
+"""Replay of ordered commands: what each answers, and the change events it leaves.
+
+The order of a context's commands decides its ids and errors, so a context is folded in sequence; contexts are
+independent. A task reads its contexts' commands as a sorted stream and holds only the state that they have left:
+live and deleted versions and the contents that they use, never the commands.
+
+Commands: seq, ctx, subject, verb, content, version, id, permanent, value. Verbs and their arguments:
+register (content; version and id, if given, from 1 and 0 on), delete_subject (permanent), delete_version (version,
+permanent; 0 or null is the latest), set_config and delete_config (value: a level; no subject: the context's),
+set_mode and delete_mode (value: a mode; no subject: the context's), delete_context.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from regolith.operators.registration import ALLOWED
+
+COMMANDS = "seq long, ctx string, subject string, verb string, content string, version int, id int, permanent boolean, value string"
+#: part is 0 for a command's answer and counts its events from 1.
+RESULT = "seq long, part int, ctx string, subject string, kind string, version int, id int, error_code int"
+LEVELS = frozenset("NONE BACKWARD BACKWARD_TRANSITIVE FORWARD FORWARD_TRANSITIVE FULL FULL_TRANSITIVE".split())
+MODES = frozenset("READWRITE READONLY READONLY_OVERRIDE IMPORT".split())
+
+
+class Refused(Exception):
+    def __init__(self, code: int) -> None:
+        self.code = code
+
+
+@dataclass
+class Version:
+    id: int
+    deleted: bool = False
+
+
+@dataclass
+class Context:
+    """The state of a context. A content keeps pointing at its last id, but counts only while a version uses it."""
+
+    subjects: dict[str, dict[int, Version]] = field(default_factory=dict)
+    ids: dict[str, int] = field(default_factory=dict)
+    contents: dict[int, str] = field(default_factory=dict)
+    uses: dict[int, int] = field(default_factory=dict)
+    next_id: int = 1
+    levels: dict[str, str] = field(default_factory=dict)
+    modes: dict[str, str] = field(default_factory=dict)
+    events: list[tuple[str, str, int, int]] = field(default_factory=list)
+
+    def apply(self, c: dict) -> tuple[int | None, int | None]:
+        """The version and id that a command answers. Raises Refused."""
+        return getattr(self, c["verb"])(c)
+
+    def allow(self, subject: str, intent: str) -> None:
+        mode = self.modes.get(subject) or self.modes.get("") or "READWRITE"
+        if mode not in ALLOWED[intent]:
+            raise Refused(42205)
+
+    def put(self, subject: str, number: int, id: int) -> None:
+        self.subjects.setdefault(subject, {})[number] = Version(id)
+        self.uses[id] = self.uses.get(id, 0) + 1
+        self.events.append(("REGISTER", subject, number, id))
+
+    def remove(self, subject: str, number: int) -> None:
+        """Deletes a version for good, and its content once nothing uses it."""
+        gone = self.subjects[subject].pop(number)
+        if not self.subjects[subject]:
+            del self.subjects[subject]
+        self.uses[gone.id] -= 1
+        if not self.uses[gone.id]:
+            del self.uses[gone.id]
+            self.contents.pop(gone.id, None)
+        self.events.append(("HARD_DELETE", subject, number, gone.id))
+
+    def forget_settings(self, subject: str) -> None:
+        self.levels.pop(subject, None)
+        self.modes.pop(subject, None)
+
+    def register(self, c: dict) -> tuple[int, int]:
+        subject, content, wanted = c["subject"], c["content"], c["id"]
+        number = c["version"] or 0
+        if subject in ("__GLOBAL", "__EMPTY") or any(ord(x) < 32 or 127 <= ord(x) < 160 for x in subject):
+            raise Refused(42208)
+        self.allow(subject, "Write" if wanted is None or wanted < 0 else "Import")
+        importing = wanted is not None and wanted >= 0
+        own = self.subjects.get(subject, {})
+        if not content:
+            live = [v for v, x in own.items() if not x.deleted]
+            if importing or not live:
+                raise Refused(42201)
+            content = self.contents[own[max(live)].id]
+        following = max(own, default=0) + 1
+        known = self.ids.get(content)
+        id = wanted if importing else None
+        if known is not None and self.uses.get(known) and id in (None, known):
+            mine = [v for v, x in own.items() if x.id == known]
+            if number == 0 and mine and not own[max(mine)].deleted:
+                return max(mine), known
+            id = known
+        if number > 0 and number != following and not importing:
+            raise Refused(42201)
+        number = number if number > 0 else following
+        if id is None:
+            id = self.next_id
+        elif self.uses.get(id) and self.contents.get(id) != content:
+            raise Refused(42205)
+        if number in own:
+            self.remove(subject, number)
+        for v in sorted(v for v, x in own.items() if x.deleted and x.id == id and v < number):
+            self.remove(subject, v)
+        self.ids[content] = id
+        self.contents[id] = content
+        self.next_id = max(self.next_id, id + 1)
+        self.put(subject, number, id)
+        return number, id
+
+    def delete_subject(self, c: dict) -> tuple[int, None]:
+        subject = c["subject"]
+        own = self.subjects.get(subject, {})
+        live = {v for v, x in own.items() if not x.deleted}
+        if not own:
+            raise Refused(40401)
+        if not c["permanent"] and not live:
+            raise Refused(40404)
+        if c["permanent"] and live:
+            raise Refused(40405)
+        self.allow(subject, "Modify")
+        if c["permanent"]:
+            gone = sorted(own)
+            for v in gone:
+                self.remove(subject, v)
+            return len(gone), None
+        for v in sorted(live):
+            own[v].deleted = True
+            self.events.append(("SOFT_DELETE", subject, v, own[v].id))
+        self.forget_settings(subject)
+        return len(live), None
+
+    def delete_version(self, c: dict) -> tuple[int, int]:
+        subject, number = c["subject"], c["version"] or 0
+        own = self.subjects.get(subject, {})
+        if number <= 0:
+            live = [v for v, x in own.items() if not x.deleted]
+            number = max(live, default=max(own, default=0))
+        if number not in own:
+            raise Refused(40402 if own else 40401)
+        found = own[number]
+        if found.deleted and not c["permanent"]:
+            raise Refused(40406)
+        if c["permanent"] and not found.deleted:
+            raise Refused(40407)
+        self.allow(subject, "Modify")
+        if c["permanent"]:
+            self.remove(subject, number)
+        else:
+            found.deleted = True
+            if all(x.deleted for x in own.values()):
+                self.forget_settings(subject)
+            self.events.append(("SOFT_DELETE", subject, number, found.id))
+        return number, found.id
+
+    def set_config(self, c: dict) -> tuple[None, None]:
+        if (c["value"] or "").upper() not in LEVELS:
+            raise Refused(42203)
+        self.allow(c["subject"], "Modify")
+        self.levels[c["subject"]] = c["value"].upper()
+        return None, None
+
+    def delete_config(self, c: dict) -> tuple[None, None]:
+        if c["subject"] not in self.levels:
+            raise Refused(40408)
+        self.allow(c["subject"], "Modify")
+        del self.levels[c["subject"]]
+        return None, None
+
+    def set_mode(self, c: dict) -> tuple[None, None]:
+        """Entering IMPORT needs no live subject in the scope, and drops deleted versions there."""
+        mode, subject = (c["value"] or "").upper(), c["subject"]
+        if mode not in MODES:
+            raise Refused(42204)
+        if mode == "IMPORT" and self.modes.get(subject) != "IMPORT":
+            scope = {s: v for s, v in self.subjects.items() if not subject or s == subject}
+            if any(not x.deleted for own in scope.values() for x in own.values()):
+                raise Refused(42205)
+            for s in sorted(scope):
+                for v in sorted(scope[s]):
+                    self.remove(s, v)
+        self.modes[subject] = mode
+        return None, None
+
+    def delete_mode(self, c: dict) -> tuple[None, None]:
+        if c["subject"] not in self.modes:
+            raise Refused(40409)
+        del self.modes[c["subject"]]
+        return None, None
+
+    def delete_context(self, c: dict) -> tuple[None, None]:
+        """Only an empty context goes; its counter stays, so that ids aren't given twice."""
+        if self.subjects or c["ctx"] == ".":
+            raise Refused(42211)
+        self.levels.clear()
+        self.modes.clear()
+        return None, None
+
+
+def replay(commands: DataFrame) -> DataFrame:
+    """For every command one answer (part 0: version and id, or an error code), followed by its events. Commands
+    without a context or number, or with an unknown verb, are refused with 422. An empty frame gives none."""
+    verbs = frozenset("register delete_subject delete_version set_config delete_config set_mode delete_mode delete_context".split())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, state = None, Context()
+        for b in batches:
+            rows = []
+            for c in b.to_pylist():
+                if c["ctx"] != name:
+                    name, state = c["ctx"], Context()
+                c["subject"] = c["subject"] or ""
+                version = id = error = None
+                try:
+                    if c["verb"] not in verbs or c["ctx"] is None or c["seq"] is None:
+                        raise Refused(422)
+                    version, id = state.apply(c)
+                except Refused as e:
+                    error = e.code
+                rows.append((c["seq"], 0, c["ctx"], c["subject"], c["verb"], version, id, error))
+                rows += [(c["seq"], i, c["ctx"], s, kind, v, x, None) for i, (kind, s, v, x) in enumerate(state.events, 1)]
+                state.events.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), TYPES)], NAMES)
+
+    names = [x.split()[0] for x in COMMANDS.split(", ")]
+    return commands.select(*names).repartition("ctx").sortWithinPartitions("ctx", "seq").mapInArrow(run, RESULT)
+
+
+NAMES = [x.split()[0] for x in RESULT.split(", ")]
+TYPES = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[x.split()[1]] for x in RESULT.split(", ")]
+
+
+def state_of(results: DataFrame) -> DataFrame:
+    """The versions that the events leave."""
+    events = results.where("part > 0")
+    last = events.groupBy("ctx", "subject", "version").agg(F.max_by(F.struct("kind", "id"), F.struct("seq", "part")).alias("e"))
+    return last.where("e.kind <> 'HARD_DELETE'").select("ctx", "subject", "version", F.col("e.id").alias("id"), (F.col("e.kind") == "SOFT_DELETE").alias("deleted"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regolith.functions import avro, names
-from regolith.operators import access, compatibility, listings, metrics, references, registration, replication, resolution
+from regolith.operators import access, compatibility, listings, metrics, references, registration, replay, replication, resolution
 from regolith.sources.derived import Registry, registry, with_relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -415,3 +415,29 @@ def avro_compatibility_levels(r: Registry) -> DataFrame:
 @query(f"SELECT DISTINCT {AVRO} AS text, {AVRO} AS canonical, CAST(NULL AS VARCHAR) AS error FROM versions")
 def avro_canonical(r: Registry) -> DataFrame:
     return avro.with_canonical(r.versions.select(F.expr(AVRO).alias("text")).distinct(), "text").select("text", "canonical", "error")
+
+
+def commands(r: Registry) -> DataFrame:
+    """The requests as commands in which every ninth deletes a version or a subject."""
+    verb = F.when(F.col("seq") % 9 == 4, "delete_version").when(F.col("seq") % 90 == 8, "delete_subject").otherwise("register")
+    none = F.lit(None)
+    return r.requests.select(
+        "seq", "ctx", "subject", verb.alias("verb"), "content", F.when(F.col("seq") % 9 == 4, F.col("seq") % 5).cast("int").alias("version"), none.cast("int").alias("id"), (F.col("seq") % 2 == 0).alias("permanent"), none.cast("string").alias("value")
+    )
+
+
+@query("SELECT ctx, subject, version, id FROM versions")
+def replayed_registrations(r: Registry) -> DataFrame:
+    """The fold over registrations alone leaves what the set form does."""
+    done = replay.replay(commands(r).withColumn("verb", F.lit("register")).withColumn("version", F.lit(None).cast("int")))
+    return replay.state_of(done).select("ctx", "subject", "version", "id")
+
+
+@query(None)
+def replayed_commands(r: Registry) -> DataFrame:
+    return replay.replay(commands(r))
+
+
+@query(None)
+def replayed_state(r: Registry) -> DataFrame:
+    return replay.state_of(replay.replay(commands(r)))

@@ -1,0 +1,42 @@
+import pytest
+
+from regolith.operators import replay as R
+
+
+def run(spark, *commands):
+    rows = []
+    for i, c in enumerate(commands, 1):
+        verb, subject, *rest = c
+        args = dict(content=None, version=None, id=None, permanent=False, value=None, ctx=".") | (rest[0] if rest else {})
+        rows.append((i, args["ctx"], subject, verb, args["content"], args["version"], args["id"], args["permanent"], args["value"]))
+    done = R.replay(spark.createDataFrame(rows, R.COMMANDS))
+    return [(r.version, r.id) if r.error_code is None else r.error_code for r in sorted(done.where("part = 0").collect(), key=lambda r: r.seq)], done
+
+
+def reg(subject, content, **more):
+    return "register", subject, {"content": content, **more}
+
+
+@pytest.mark.parametrize(
+    ("commands", "answers"),
+    [
+        ([reg("a", "X"), reg("a", "X"), reg("b", "X"), reg("a", "Y"), reg("a", "X", ctx=".z")], [(1, 1), (1, 1), (1, 1), (2, 2), (1, 1)]),
+        ([reg("a", "X"), reg("a", "Y"), ("delete_version", "a", {"version": 1}), reg("a", "X")], [(1, 1), (2, 2), (1, 1), (3, 1)]),
+        ([reg("a", "X"), ("delete_subject", "a"), ("delete_subject", "a"), ("delete_subject", "a", {"permanent": True}), ("delete_subject", "a"), reg("a", "X")], [(1, 1), (1, None), 40404, (1, None), 40401, (1, 2)]),
+        ([reg("a", "X"), ("delete_subject", "a", {"permanent": True}), ("delete_version", "a", {"version": 9}), ("delete_version", "b"), ("delete_version", "a"), ("delete_version", "a", {"version": 1}), ("delete_version", "a", {"version": 1, "permanent": True})], [(1, 1), 40405, 40402, 40401, (1, 1), 40406, (1, 1)]),
+        ([reg("a", ""), reg("a", "X"), reg("a", None), reg("a", "Y", version=5), reg("a", "Y", version=2), reg("__GLOBAL", "X"), reg("a\tb", "X")], [42201, (1, 1), (1, 1), 42201, (2, 2), 42208, 42208]),
+        ([("set_mode", "", {"value": "IMPORT"}), reg("a", "X", id=900), reg("a", "X", id=900), reg("a", "Y", id=900), reg("a", "Y"), reg("a", "Y", id=7, version=4), ("set_mode", "", {"value": "readwrite"}), reg("b", "Z")], [(None, None), (1, 900), (1, 900), 42205, 42205, (4, 7), (None, None), (1, 901)]),
+        ([reg("a", "X"), ("set_mode", "", {"value": "IMPORT"}), ("set_mode", "a", {"value": "READONLY"}), reg("a", "Y"), reg("b", "Y"), ("set_mode", "a", {"value": "no"}), ("delete_mode", "a"), ("delete_mode", "a"), reg("a", "Y")], [(1, 1), 42205, (None, None), 42205, (1, 2), 42204, (None, None), 40409, (2, 2)]),
+        ([reg("a", "X"), ("set_config", "a", {"value": "full"}), ("set_config", "a", {"value": "some"}), ("delete_version", "a"), ("delete_config", "a")], [(1, 1), (None, None), 42203, (1, 1), 40408]),
+        ([reg("a", "X", ctx=".c"), ("delete_context", "", {"ctx": ".c"}), ("delete_subject", "a", {"ctx": ".c"}), ("delete_subject", "a", {"ctx": ".c", "permanent": True}), ("delete_context", "", {"ctx": ".c"}), reg("a", "X", ctx=".c"), ("what", "a")], [(1, 1), 42211, (1, None), (1, None), (None, None), (1, 2), 422]),
+    ],
+)
+def test_answers(spark, commands, answers):
+    assert run(spark, *commands)[0] == answers
+
+
+def test_events_leave_the_state(spark):
+    done = run(spark, reg("a", "X"), reg("a", "Y"), ("delete_version", "a", {"version": 1}), reg("a", "X"), ("delete_subject", "a"))[1]
+    events = [(r.kind, r.version, r.id) for r in sorted(done.where("part > 0").collect(), key=lambda r: (r.seq, r.part))]
+    assert events == [("REGISTER", 1, 1), ("REGISTER", 2, 2), ("SOFT_DELETE", 1, 1), ("HARD_DELETE", 1, 1), ("REGISTER", 3, 1), ("SOFT_DELETE", 2, 2), ("SOFT_DELETE", 3, 1)]
+    assert sorted(map(tuple, R.state_of(done).collect())) == [(".", "a", 2, 2, True), (".", "a", 3, 1, True)]
