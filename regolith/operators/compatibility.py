@@ -35,3 +35,36 @@ def verdicts(new: DataFrame, history: DataFrame, readable: Callable[[DataFrame,
     wide = rows.groupBy("key").agg(*failing)
     out = new.select("key").join(wide, "key", "left").unpivot(["key"], list(LEVELS), "level", "failing_version")
     return out.select("key", "level", F.col("failing_version").isNull().alias("compatible"), "failing_version")
+
+
+def candidates(new: DataFrame, history: DataFrame, group: str) -> DataFrame:
+    """The pairs that are to be compared: live versions of the same group, an absent group being one, too."""
+    live = history.where(~F.col("deleted")).withColumnRenamed(group, "_group").drop("deleted")
+    pairs = new.join(live, "key")
+    return pairs.where(F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
+#: The wire groups of Protobuf scalars; types of one group may replace each other.
+WIRE_GROUPS = {
+    "int32": "GENERAL_NUMBER", "uint32": "GENERAL_NUMBER", "int64": "GENERAL_NUMBER", "uint64": "GENERAL_NUMBER", "bool": "GENERAL_NUMBER", "enum": "GENERAL_NUMBER",
+    "sint32": "SIGNED_NUMBER", "sint64": "SIGNED_NUMBER", "string": "STRING_OR_BYTES", "bytes": "STRING_OR_BYTES", "fixed32": "FIXED32", "sfixed32": "FIXED32",
+    "fixed64": "FIXED64", "sfixed64": "FIXED64", "float": "FLOAT", "double": "DOUBLE",
+}
+
+
+def field_differences(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Of Protobuf fields (message, tag, name, type, label): one row for every difference, with its kind and whether
+    it is compatible. Fields are matched by message and tag; a required field can't be added or removed."""
+    side = lambda df, s: df.select("message", "tag", *(F.col(c).alias(f"{s}_{c}") for c in ("name", "type", "label")))
+    both = side(old, "old").join(side(new, "new"), ["message", "tag"], "full")
+    group = lambda c: F.coalesce(F.create_map(*(F.lit(x) for kv in WIRE_GROUPS.items() for x in kv))[F.col(c)], F.col(c))
+    changed = group("old_type") != group("new_type")
+    kind = (
+        F.when(F.col("old_tag_missing"), F.when(F.col("new_label") == "required", "REQUIRED_FIELD_ADDED").otherwise("FIELD_ADDED"))
+        .when(F.col("new_tag_missing"), F.when(F.col("old_label") == "required", "REQUIRED_FIELD_REMOVED").otherwise("FIELD_REMOVED"))
+        .when(changed, "FIELD_SCALAR_KIND_CHANGED")
+        .when(F.col("old_name") != F.col("new_name"), "FIELD_NAME_CHANGED")
+    )
+    rows = both.withColumn("old_tag_missing", F.col("old_name").isNull()).withColumn("new_tag_missing", F.col("new_name").isNull())
+    rows = rows.select("message", "tag", kind.alias("kind")).where("kind is not null")
+    return rows.withColumn("compatible", F.col("kind").isin("FIELD_ADDED", "FIELD_REMOVED", "FIELD_NAME_CHANGED"))

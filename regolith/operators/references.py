@@ -55,3 +55,14 @@ def closure(edges: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame
     if found is None:
         return at
     return found.groupBy("root", "subject").agg(F.max("depth").alias("depth"))
+
+
+def resolve_references(wanted: DataFrame, versions: DataFrame) -> DataFrame:
+    """For references (ctx, subject, version): the concrete version and its id. -1 is the latest live version now;
+    an exact number may be deleted. An unknown one has error 42201."""
+    live = versions.where(~F.col("deleted")).groupBy("ctx", "subject").agg(F.max("version").alias("latest"))
+    asked = wanted.join(live, ["ctx", "subject"], "left").withColumn("concrete", F.when(F.col("version") == -1, F.col("latest")).otherwise(F.col("version")))
+    exact = versions.select("ctx", "subject", F.col("version").alias("concrete"), "id")
+    out = asked.join(exact, ["ctx", "subject", "concrete"], "left")
+    known = F.col("id").isNotNull()
+    return out.select("ctx", "subject", "version", F.when(known, F.col("concrete")).alias("resolved"), "id", F.when(~known, 42201).alias("error_code"))

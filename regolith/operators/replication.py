@@ -58,3 +58,35 @@ def replayed(events: DataFrame) -> DataFrame:
     the last event by seq decides."""
     last = events.groupBy("ctx", "subject", "version").agg(F.max_by(F.struct("id", "kind"), "seq").alias("e"))
     return last.select("ctx", "subject", "version", F.col("e.id").alias("id"), (F.col("e.kind") == "SOFT_DELETE").alias("deleted")).where("e.kind <> 'HARD_DELETE'")
+
+
+#: state -> command -> next state; what is missing is refused.
+COMMANDS = {
+    "STARTING": {"pause": "PAUSED", "resume": "STARTING", "reset": "STARTING"},
+    "RUNNING": {"pause": "PAUSED", "resume": "RUNNING", "reset": "RUNNING"},
+    "PAUSED": {"pause": "PAUSED", "resume": "RUNNING", "reset": "PAUSED"},
+    "ERROR": {"pause": "PAUSED", "resume": "RUNNING", "reset": "ERROR"},
+    "FAILED": {"pause": "PAUSED", "reset": "FAILED"},
+}
+
+
+def commanded(exporters: DataFrame) -> DataFrame:
+    """Exporters (name, state, offset, command) after their command: the new state and offset, or error 42250 where
+    the command is refused. Resetting sets the offset to 0 and leaves a paused exporter paused."""
+    table = F.create_map(*(x for s, cs in COMMANDS.items() for c, t in cs.items() for x in (F.lit(f"{s} {c}"), F.lit(t))))
+    to = table[F.concat_ws(" ", "state", "command")]
+    offset = F.when(to.isNotNull() & (F.col("command") == "reset"), F.lit(0).cast("long")).otherwise(F.col("offset"))
+    return exporters.select("name", F.coalesce(to, F.col("state")).alias("state"), offset.alias("offset"), F.when(to.isNull(), 42250).alias("error_code"))
+
+
+def progressed(exporters: DataFrame, reports: DataFrame) -> DataFrame:
+    """Exporters (name, state, offset) after reports (name, expected, offset): a report counts only if the offset is
+    still the expected one and the exporter is neither paused nor failed."""
+    r = reports.select("name", "expected", F.col("offset").alias("to"))
+    counts = (F.col("offset") == F.col("expected")) & ~F.col("state").isin("PAUSED", "FAILED")
+    return exporters.join(r, "name", "left").select("name", "state", F.when(counts, F.col("to")).otherwise(F.col("offset")).alias("offset"))
+
+
+def bootstrap(exporters: DataFrame, floor: int) -> DataFrame:
+    """Which exporters must ship the current state because the log no longer reaches back to their offset."""
+    return exporters.select("name", (F.col("offset") < floor).alias("bootstraps"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regolith.functions import avro, names
+from regolith.functions import avro, json_text, names
 from regolith.operators import access, compatibility, listings, metrics, references, registration, replay, replication, resolution
 from regolith.sources.derived import Registry, registry, with_relations
 
@@ -441,3 +441,49 @@ def replayed_commands(r: Registry) -> DataFrame:
 @query(None)
 def replayed_state(r: Registry) -> DataFrame:
     return replay.state_of(replay.replay(commands(r)))
+
+
+@query("SELECT DISTINCT content, replace(content, ' ', '') AS canonical, replace(content, ' ', '') AS normalized FROM requests")
+def json_canonical(r: Registry) -> DataFrame:
+    return json_text.with_canonical(r.requests.select("content").distinct(), "content")
+
+
+@query("""
+    SELECT w.ctx, w.subject, w.version, v.version AS resolved, v.id, CASE WHEN v.id IS NULL THEN 42201 END AS error_code
+    FROM (SELECT DISTINCT ctx, subject, CASE WHEN version % 3 = 0 THEN -1 ELSE version * 2 END AS version FROM versions) w
+    LEFT JOIN (SELECT ctx, subject, max(version) AS latest FROM versions WHERE NOT deleted GROUP BY ctx, subject) l ON l.ctx = w.ctx AND l.subject = w.subject
+    LEFT JOIN versions v ON v.ctx = w.ctx AND v.subject = w.subject AND v.version = CASE WHEN w.version = -1 THEN l.latest ELSE w.version END""")
+def resolve_references(r: Registry) -> DataFrame:
+    wanted = r.versions.select("ctx", "subject", F.expr("CASE WHEN version % 3 = 0 THEN -1 ELSE version * 2 END").alias("version")).distinct()
+    return references.resolve_references(wanted, r.versions)
+
+
+#: Protobuf fields of two generations of each id's message.
+PROTO_TYPE = "CASE {} % 8 WHEN 0 THEN 'int32' WHEN 1 THEN 'int64' WHEN 2 THEN 'string' WHEN 3 THEN 'bytes' WHEN 4 THEN 'fixed32' WHEN 5 THEN 'sint32' WHEN 6 THEN 'double' ELSE 'Other' END"
+PROTO = """SELECT ctx || id AS message, t AS tag, 'f' || CASE WHEN (id + t) % {rename} = 0 THEN t + 100 ELSE t END AS name, {type} AS type, CASE WHEN (id + t) % 5 = 0 THEN 'required' ELSE 'optional' END AS label
+    FROM (SELECT ctx, id, {each} AS t FROM schemas) s WHERE (id * 7 + t) % {drop} <> 0"""
+OLD = dict(rename=99999, type=PROTO_TYPE.format("(id + t)"), drop=4)
+NEW = dict(rename=6, type=PROTO_TYPE.format("(id + t * t % 3)"), drop=5)
+GROUP = "CASE WHEN {0} IN ('int32', 'int64') THEN 'n' WHEN {0} IN ('string', 'bytes') THEN 's' ELSE {0} END"
+
+
+@query(f"""
+    WITH o AS ({PROTO.format(each="unnest(range(1, 7))", **OLD)}), n AS ({PROTO.format(each="unnest(range(1, 7))", **NEW)}),
+         k AS (SELECT message, tag, CASE WHEN o.name IS NULL THEN CASE WHEN n.label = 'required' THEN 'REQUIRED_FIELD_ADDED' ELSE 'FIELD_ADDED' END
+                      WHEN n.name IS NULL THEN CASE WHEN o.label = 'required' THEN 'REQUIRED_FIELD_REMOVED' ELSE 'FIELD_REMOVED' END
+                      WHEN {GROUP.format('o.type')} <> {GROUP.format('n.type')} THEN 'FIELD_SCALAR_KIND_CHANGED' WHEN o.name <> n.name THEN 'FIELD_NAME_CHANGED' END AS kind
+               FROM o FULL JOIN n USING (message, tag))
+    SELECT message, tag, kind, kind IN ('FIELD_ADDED', 'FIELD_REMOVED', 'FIELD_NAME_CHANGED') AS compatible FROM k WHERE kind IS NOT NULL""")
+def proto_field_differences(r: Registry) -> DataFrame:
+    fields = lambda how: r.schemas.sparkSession.sql(PROTO.replace("FROM schemas", "FROM {schemas}").format(each="explode(sequence(1, 6))", schemas="{schemas}", **how), schemas=r.schemas)
+    return compatibility.field_differences(fields(OLD), fields(NEW))
+
+
+@query("""
+    SELECT concat(ctx, ':', subject) AS key, v.version FROM versions v JOIN schemas s USING (ctx, id)
+    JOIN (SELECT ctx, subject, arg_max(s.team, version) AS team FROM versions v JOIN schemas s USING (ctx, id) GROUP BY ctx, subject) n USING (ctx, subject)
+    WHERE NOT v.deleted AND s.team = n.team""")
+def compatibility_candidates(r: Registry) -> DataFrame:
+    rows = r.versions.join(r.schemas.select("ctx", "id", "team"), ["ctx", "id"]).select(F.concat_ws(":", "ctx", "subject").alias("key"), "version", "deleted", "team")
+    new = rows.groupBy("key").agg(F.max_by("team", F.when(F.col("team").isNotNull(), F.col("version"))).alias("team"))
+    return compatibility.candidates(new, rows, "team").select("key", "version")
