@@ -18,6 +18,8 @@ SKIP = RAW | frozenset("head noscript template iframe svg math object select but
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
+#: Elements that leave the head open.
+IN_HEAD = frozenset("head noscript template object".split())
 #: What an opening element closes, up to the elements that bound the search.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}),
@@ -108,8 +110,8 @@ class Page:
                     continue
                 inline = name in INLINE
                 if not inline:
-                    self.imply(stack, name)
-                    links = sum(x == "a" for x, _ in stack)
+                    if self.imply(stack, name):
+                        links, skip = sum(x == "a" for x, _ in stack), sum(x in SKIP for x, _ in stack)
                     self.parent.append(stack[-1][1])
                     self.tag.append(name)
                     self.attributes.append(attributes)
@@ -134,8 +136,12 @@ class Page:
                     if close in INLINE and stack[i][0] not in INLINE:
                         break
 
-    def imply(self, stack: list, name: str) -> None:
-        """Closes what the opening of a block ends: an open paragraph, and items, cells and rows of its kind."""
+    def imply(self, stack: list, name: str) -> bool:
+        """Closes what the opening of a block ends: the head, an open paragraph, and items, cells and rows of its
+        kind. True if anything was closed."""
+        size = len(stack)
+        if name not in IN_HEAD and (head := next((i for i, (x, _) in enumerate(stack) if x == "head"), 0)):
+            del stack[head:]
         closed, bounds = CLOSES.get(name, ({"p"}, {"table", "td", "th", "button", "object"}))
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in bounds:
@@ -145,6 +151,7 @@ class Page:
                 break
             if name not in CLOSES and stack[i][0] not in INLINE:
                 break
+        return len(stack) < size
 
     def add(self, block: int, text: str, links: int) -> None:
         if "&" in text:

@@ -45,6 +45,8 @@ def test_made_pages_not_seen_in_training():
         ("<article><h1>A &amp; B</h1><p>One\n  two<b>three</b> &lt;x&gt; caf&eacute;.</p><p>Four five, six.</p></article>", "A & B One twothree <x> café. Four five, six."),
         ("<article><p>Unclosed <b>words<p>and, more words.</article><footer>&copy; x</footer>", "Unclosed words and, more words."),
         ("<body><nav><ul><li><a href=/>Home</a></ul></nav><article><p>Some text, here it is.</p><script>var a = '</p>';</script></article></body>", "Some text, here it is."),
+        ("<html><head><title>T</title><meta x><body><article><p>No end of the head, so it is.</article>", "No end of the head, so it is."),
+        ("<article><p>Before it, all is well.</p><ul><li><button>x<li>An item, still here.</ul><p>After it, all is well.</p></article>", "Before it, all is well. An item, still here. After it, all is well."),
     ],
 )
 def test_reading(source, text):
