@@ -33,8 +33,10 @@ BANDS, ROWS = 40, 8
 BINS = BANDS * ROWS
 #: Ids up to this number are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST = 1_000_000
-#: Rounds of linking each bucket's nodes with one of them, before all pairs that are left are compared.
-STARS = 4
+#: A node keeps PLANES bits of each coordinate, PLANES planes of LONGS longs. A pair that is compared in full may
+#: differ in DIFFER of the 320 coordinates' bits: at similarity 0.85 it differs in 45 on average, and in more than
+#: DIFFER with a probability of 2.5e-6, at 0.87 of 8e-9; at 0.7 it differs in 90.
+PLANES, LONGS, DIFFER = 4, BINS // 64, 75
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -76,25 +78,36 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
     return out
 
 
+def sign_bits(coordinates: np.ndarray) -> np.ndarray:
+    """PLANES bits of each coordinate, plane by plane, as longs."""
+    h = mixed(coordinates)
+    planes = [(h >> np.uint64(i) & np.uint64(1)).astype(np.uint8) for i in range(PLANES)]
+    return np.packbits(np.concatenate(planes)).view(np.int64)
+
+
 def set_hash(items: np.ndarray) -> bytes:
     return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
 
 
 def sketched(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, n_shingles, set_hash and bands of every row; no bands for an empty set."""
+    """key, n_shingles, set_hash, bands and bits of every row; no bands and bits for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sets, made = [], [], []
+            rows = []
             for t in map(pa.StringScalar.as_py, b.column(1)):
                 items = shingles(t)
-                n.append(len(items))
-                sets.append(set_hash(items))
-                made.append(bands(sketch(items)).view(np.int64) if len(items) else [])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(made, pa.list_(pa.int64()))], ["key", "n_shingles", "set_hash", "bands"])
+                if len(items):
+                    coordinates = sketch(items)
+                    rows.append((len(items), set_hash(items), bands(coordinates).view(np.int64), sign_bits(coordinates)))
+                else:
+                    rows.append((0, set_hash(items), [], []))
+            if rows:
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["key", "n_shingles", "set_hash", "bands", "bits"])
 
+    kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
     source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, f"key {source.schema['key'].dataType.simpleString()}, n_shingles long, set_hash binary, bands array<long>")
+    return source.mapInArrow(run, f"key {source.schema['key'].dataType.simpleString()}, n_shingles long, set_hash binary, bands array<long>, bits array<long>")
 
 
 def full_sets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -111,10 +124,11 @@ def full_sets(df: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFram
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "items"])
 
-    few = wanted.count() <= BROADCAST
+    many = wanted.count()
     source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    found = source.join(F.broadcast(wanted) if few else wanted, F.col("key").eqNullSafe(F.col("rep")))
-    return found.select("node", "text", "set_hash").mapInArrow(run, "node long, items binary").dropDuplicates(["node"])
+    found = source.join(F.broadcast(wanted) if many <= BROADCAST else wanted, F.col("key").eqNullSafe(F.col("rep")))
+    out = stored(found.select("node", "text", "set_hash").mapInArrow(run, "node long, items binary"), "neardup-sets")
+    return out.dropDuplicates(["node"]) if out.count() > many else out  # only where rows repeat
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -136,60 +150,65 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(first, "u").join(second, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def alike(a: Column, b: Column) -> Column:
-    """Whether sets of these sizes can be similar enough."""
-    return 100 * F.least(a, b) >= PER_CENT * F.greatest(a, b)
+def alike(a: str, b: str) -> Column:
+    """Whether the nodes a and b (structs with n and bits) may be similar enough, by their sizes and bits."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    plane = lambda x, i: F.col(f"{x}.bits")[i]
+    differ = F.lit(0)
+    for at in range(LONGS):
+        one = F.lit(0).cast("long")
+        for i in range(at, PLANES * LONGS, LONGS):
+            one = one.bitwiseOR(plane(a, i).bitwiseXOR(plane(b, i)))
+        differ = differ + F.bit_count(one)
+    return (100 * F.least(n, m) >= PER_CENT * F.greatest(n, m)) & (differ <= DIFFER)
+
+
+def ordered(a: str, b: str) -> list[Column]:
+    return [F.least(f"{a}.node", f"{b}.node").alias("u"), F.greatest(f"{a}.node", f"{b}.node").alias("v")]
 
 
 def node_labels(df: DataFrame, key: str, text: str, nodes: DataFrame) -> DataFrame | None:
     """node and label of all nodes that are linked with others; None if there are none.
 
-    A bucket's nodes are first linked with one node of the bucket, chosen anew in each round, which joins up large
-    groups with as many comparisons as they have nodes. What differs in label after that is compared in all pairs,
-    each pair once, so no link inside a bucket is missed whatever its size; these pairs are few unless many nodes
-    agree in a whole band without being similar. Buckets are aggregated before the shuffle and joined back, so that
-    adaptive execution can split the large ones."""
+    First every node is compared with its buckets' hubs: a bucket's hub is its node with the most company in all its
+    buckets. That joins up most of a group with a few comparisons for each node. Then, in buckets whose nodes still
+    differ in label, the nodes outside of the commonest label are compared with all of another label. So no pair
+    inside a bucket is left out whose link could change a group, whatever the bucket's size; pairs whose sizes or
+    bits differ too much aren't compared in full. Buckets are aggregated before the shuffle and joined back, and
+    adaptive execution splits the large ones."""
     spark = df.sparkSession
-    every = nodes.select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
-    shared = every.groupBy("band").agg(F.count("*").alias("c")).where("c > 1").select("band")
+    every = nodes.select("node", F.explode("bands").alias("band"))
+    shared = every.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
     members = stored(every.join(shared, "band"), "neardup-members")
-    wanted = stored(nodes.select("node", "rep", "set_hash").join(members.select("node").distinct(), "node", "left_semi"), "neardup-nodes")
-    sets = stored(full_sets(df, key, text, wanted), "neardup-sets")
-    edges, labels, compared = [], None, []
-    for star in range(STARS + 1):
-        at = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        parts = at.groupBy("band", "label").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node", F.lit(star)), "node", "n")).alias("lead"))
-        mixed_bands = parts.groupBy("band").agg(
-            F.count("*").alias("labels"), F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.min("lead").alias("lead"), F.max(F.struct("c", "label"))["label"].alias("major")
-        )
-        mixed_bands = stored(mixed_bands.where("labels > 1"), "neardup-buckets")
-        work = mixed_bands.agg(F.count("*").alias("buckets"), F.sum("size").alias("rows"), F.sum((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("pairs")).first()
-        if not work.buckets:
-            break
-        last = star == STARS or work.pairs <= 4 * work.rows
-        open_rows = at.join(mixed_bands.select("band", "lead", "major"), "band")
-        if last:
-            minor = open_rows.where("label <> major").select("band", F.col("node").alias("a"), F.col("n").alias("an"), F.col("label").alias("al"))
-            pairs = open_rows.join(minor, "band").where((F.col("label") != F.col("al")) & alike(F.col("n"), F.col("an")))
-            pairs = pairs.select(F.least("node", "a").alias("u"), F.greatest("node", "a").alias("v"))
-        else:
-            pairs = open_rows.where((F.col("node") != F.col("lead.node")) & alike(F.col("n"), F.col("lead.n")))
-            pairs = pairs.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v"))
-        pairs = pairs.distinct()
-        for old in compared:
-            pairs = pairs.join(old, ["u", "v"], "left_anti")
-        pairs = stored(pairs, "neardup-pairs")
-        compared.append(pairs)
-        edges.append(stored(linked(pairs, sets), "neardup-links"))
-        links = edges[0]
-        for e in edges[1:]:
-            links = links.unionAll(e)
-        labels = stored(components(links), "neardup-labels")
-        discard(spark, mixed_bands)
-        if last:
-            break
-    discard(spark, members, sets, wanted, *compared)
-    return labels
+    company = members.groupBy("node").agg(F.sum("c").alias("w"))
+    traits = nodes.join(company, "node").select("node", F.struct("w", "node", F.col("n_shingles").alias("n"), "bits", "bands").alias("a"))
+    full = stored(members.select("band", "node").join(traits, "node").select("band", "a"), "neardup-buckets")
+    discard(spark, members)
+    known = nodes.select("node", "rep", "set_hash")
+
+    def verified(pairs: DataFrame) -> DataFrame | None:
+        pairs = stored(pairs.distinct(), "neardup-pairs")
+        ends = pairs.select(F.col("u").alias("node")).distinct().unionAll(pairs.select("v").distinct()).distinct()
+        wanted = stored(known.join(ends, "node"), "neardup-nodes")
+        if not wanted.limit(1).count():
+            return None
+        return stored(linked(pairs, full_sets(df, key, text, wanted)), "neardup-links")
+
+    hubs = full.groupBy("band").agg(F.max("a").alias("b"))
+    links = verified(full.join(hubs, "band").where((F.col("a.node") != F.col("b.node")) & alike("a", "b")).select(*ordered("a", "b")))
+    labels = None if links is None else stored(components(links), "neardup-labels")
+    own = F.col("a.node")
+    at = full.select("band", "a", own.alias("label")) if labels is None else full.join(labels, own == F.col("node"), "left").select("band", "a", F.coalesce("label", own).alias("label"))
+    counts = at.groupBy("band", "label").agg(F.count("*").alias("c"))
+    mixed_bands = counts.groupBy("band").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label"))["label"].alias("major")).where("labels > 1")
+    rest = stored(at.join(mixed_bands.select("band", "major"), "band"), "neardup-rest")
+    minor = rest.where("label <> major").select("band", F.col("a").alias("b"), F.col("label").alias("other"))
+    # every common band of such a pair is here: it is taken in its first one, and from one side
+    once = ((F.col("label") == F.col("major")) | (F.col("a.node") < F.col("b.node"))) & (F.array_intersect("a.bands", "b.bands")[0] == F.col("band"))
+    more = verified(rest.join(minor, "band").where((F.col("label") != F.col("other")) & alike("a", "b") & once).select(*ordered("a", "b")))
+    if more is None or not more.limit(1).count():
+        return labels
+    return stored(components(more if links is None else links.unionAll(more)), "neardup-labels")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,7 +218,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     key has no component of its own and is not kept; repeated rows give the same result each. An empty frame gives
     an empty frame. Texts are read twice: all for the sketches, and those in shared buckets for their full sets."""
     rows = stored(sketched(df, key, text), "neardup-sketches")
-    nodes = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    nodes = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "neardup-sets")
     labels = node_labels(df, key, text, nodes)
     known = nodes.select("node", "set_hash", "rep")
