@@ -12,6 +12,7 @@ import json
 import os
 import re
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import public_tokenizers
@@ -36,6 +37,17 @@ LONG_WORD = 2000
 SHIFT = 40
 
 
+@functools.cache
+def tokenizer(path: str) -> Any:
+    """The tokenizers library's own, in which a special token's string is ordinary text; loaded when first needed."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return t
+
+
 @functools.cache
 def encoder(path: str) -> Callable[[str], bytes]:
     """From text to ids as little-endian unsigned 32-bit integers, one for each worker process.
@@ -43,12 +55,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
     The ids are those of the tokenizers library for the file at `path`. Where the file is a byte-level BPE whose
     ids follow its merges, tiktoken gives the same ids from its vocabulary in a quarter of the time; texts with a
     word of over LONG_WORD characters, on which it is quadratic, and other files go to tokenizers itself."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    exact = lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    exact = lambda text: np.array(tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     ranks = byte_ranks(path)
     if ranks is None:
         return exact
