@@ -2,34 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-MASK = (1 << 64) - 1
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; a local one only where none is set."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if named is None:
-        named = sc.getCheckpointDir()
-    if named is None:
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="regolith-"))
-        named = sc.getCheckpointDir()
-    return named.rstrip("/")
-
+from regolith.scratch import shared_dir, stored
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: the lineage ends there, so that a lost
-    executor costs a read and no recomputation, and what is not deterministic (partition ids) is fixed."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "mixed", "shared_dir", "stored", "table"]
 
 
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
