@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from regolith.llm.common import table
 
 #: Entries of a worker's memo, and the longest chunk kept in it, in characters.
-MEMO, LONGEST = 200_000, 64
+MEMO, LONGEST = 150_000, 64
 #: An output batch is handed on once it holds so many bytes.
 BATCH_BYTES = 16 << 20
 
@@ -135,11 +135,13 @@ def batched(rows: Iterator[tuple], schema: pa.Schema, weigh: Callable[[tuple], i
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-def bpe_encode(df: DataFrame, key: str, text: str, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """key and ids (binary: little-endian unsigned 32-bit integers) of each row's whole text, null as empty. Each
-    match of the pattern is encoded on its own. No shuffle; repeated rows and null keys stay as they are."""
+Batches = Iterator[pa.RecordBatch]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def encoding(path: str, pattern: str) -> Callable[[Batches], Batches]:
+    """From batches (key, text) to batches (key, ids)."""
+
+    def run(batches: Batches) -> Batches:
         encode = encoder(path, pattern)
         schema = None
         for b in batches:
@@ -147,28 +149,53 @@ def bpe_encode(df: DataFrame, key: str, text: str, path: str, pattern: str = pub
             rows = ((k, encode(t or "")) for k, t in zip(b[0].to_pylist(), map(pa.StringScalar.as_py, b[1])))
             yield from batched(rows, schema, lambda r: len(r[1]))
 
-    kind = df.schema[key].dataType
-    out = T.StructType([T.StructField("key", kind), T.StructField("ids", T.BinaryType())])
-    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, out).withColumnRenamed("key", key)
+    return run
 
 
-def bpe_decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """Adds the bytes that the ids stand for. Ids outside the vocabulary raise an error; null ids give null."""
+def decoding(path: str, ids: str, into: str) -> Callable[[Batches], Batches]:
+    """Adds to batches what their ids stand for."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Batches) -> Batches:
         entry = vocabulary(path).__getitem__
         for b in batches:
             at = b.schema.get_field_index(ids)
             texts = [None if x is None else b"".join(map(entry, memoryview(x).cast("I"))) for x in map(pa.BinaryScalar.as_py, b[at])]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], schema=b.schema.append(pa.field(into, pa.binary())))
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.BinaryType())]))
+    return run
+
+
+def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+
+
+def schema_of(df: DataFrame, *binaries: str) -> T.StructType:
+    return T.StructType([df.schema[0], *(T.StructField(b, T.BinaryType()) for b in binaries)])
+
+
+def bpe_encode(df: DataFrame, key: str, text: str, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """key and ids (binary: little-endian unsigned 32-bit integers) of each row's whole text, null as empty. Each
+    match of the pattern is encoded on its own. No shuffle; repeated rows and null keys stay as they are."""
+    rows = keyed(df, key, text)
+    return rows.mapInArrow(encoding(path, pattern), schema_of(rows, "ids")).withColumnRenamed("key", key)
+
+
+def bpe_decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
+    """Adds the bytes that the ids stand for. Ids outside the vocabulary raise an error; null ids give null."""
+    return df.mapInArrow(decoding(path, ids, into), T.StructType([*df.schema.fields, T.StructField(into, T.BinaryType())]))
+
+
+def bpe_round_trip(df: DataFrame, key: str, text: str, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """key, ids and decoded: bpe_encode and bpe_decode in one pass, by one worker."""
+    encode, decode = encoding(path, pattern), decoding(path, "ids", "decoded")
+    rows = keyed(df, key, text)
+    return rows.mapInArrow(lambda batches: decode(encode(batches)), schema_of(rows, "ids", "decoded")).withColumnRenamed("key", key)
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text encoded by the 50k ranks and decoded again, as digests. Null and empty texts have no ids."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    done = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), "doc_id", "text", path), path)
+    done = bpe_round_trip(table(spark, sf_dir, "documents"), "doc_id", "text", path)
     return done.select(
         "doc_id",
         F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"),
