@@ -225,8 +225,6 @@ ADDRESSES = (
 
 #: Words before a license's name that make a notice of it.
 UNDER = "(?:licensed|released|distributed|available|published|provided|covered|governed|dual licensed|sublicensed|redistributed|modif\\w+|subject)"
-#: No rule matches a text without one of these.
-GATE = re.compile(b"licen|copyright|spdx|public domain|rights reserved|gpl|creative ?commons|cc (?:by|0)|cc0|permi(?:ssion|tted)|proprietary|prohibited|bsd|mpl|epl |apache org|unencumbered|warrant|acknowledg|misrepresented|redistribut|dedication|the accompanying materials|for good not evil|wtfpl|cddl|eupl|ncsa|cecill|free software|neither the name of|this source code form|disclaimer|agreement")
 
 
 class Rule(NamedTuple):
@@ -239,6 +237,8 @@ class Rule(NamedTuple):
 def keywords(expression: str) -> tuple[bytes, ...]:
     """For each alternative of an expression its longest plain run outside of groups, one of which occurs in every
     match; nothing, if an alternative has no run of three characters."""
+    if whole := re.fullmatch(r"\(\?:([^()]*)\)", expression):
+        expression = whole[1]
     runs = [[""]]
     depth, skip = 0, ""
     for c in re.sub(r"\\.", ".", expression):
@@ -283,6 +283,15 @@ def rules() -> list[Rule]:
     return out + [rule(label, NAME, name) for label, name in NAMES.items()]
 
 
+@functools.cache
+def gate() -> re.Pattern[bytes] | None:
+    """One of the rules' keywords; no rule matches a text without one. None, if a rule has no keywords."""
+    every = {k for r in rules() for k in r.keywords}
+    # a keyword that holds another is found with it
+    least = sorted(k for k in every if not any(o != k and o in k for o in every))
+    return re.compile(b"|".join(map(re.escape, least))) if all(r.keywords for r in rules()) else None
+
+
 class Found(NamedTuple):
     label: str
     priority: int
@@ -320,7 +329,7 @@ def scan(text: str | None) -> tuple[int, list[tuple[str, int]], list[Found]]:
             base.append((label, index(at)))
             at = line.find(b" " + phrase + b" ", at + 1)
     found = []
-    if GATE.search(line):
+    if gate() is None or gate().search(line):
         seen: dict[bytes, bool] = {}
         for r in rules():
             for k in r.keywords:

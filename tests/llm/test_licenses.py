@@ -79,3 +79,46 @@ def test_op4(spark, sf, sample):
 def test_odd_rows(documents, nothing):
     assert L.scan_licenses(documents, "doc_id", "text").count() == documents.count()
     assert L.scan_licenses(nothing, "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize(("text", "label"), [("https://scripts.sil.org/OFL", "OFL-1.1"), ("gnu.org/copyleft/fdl", "GFDL"), ("MIT No Attribution", "MIT-0")])
+def test_detections_without_common_words(text, label):
+    assert [d.label for d in L.scan(text)[2]] == [label]
+
+
+def options(expression):
+    """Texts that an expression matches, one at least through each of its alternatives."""
+    import re._parser as parser
+
+    def texts(parsed):
+        out = [""]
+        for op, av in parsed:
+            op = str(op)
+            if op == "LITERAL":
+                new = [chr(av)]
+            elif op == "IN":
+                new = [chr(av[0][1]) if str(av[0][0]) == "LITERAL" else "x"]
+            elif op == "ANY":
+                new = ["x"]
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                new = [t * n for n in {av[0], min(max(av[0], 1), av[1])} for t in texts(av[2])]
+            elif op == "SUBPATTERN":
+                new = texts(av[3])
+            elif op == "BRANCH":
+                new = [t for branch in av[1] for t in texts(branch)]
+            else:
+                raise ValueError(op)
+            # all options of this part with the first ones before it, and the others with its first
+            out = [out[0] + t for t in new] + [t + new[0] for t in out[1:]]
+        return list(dict.fromkeys(out))
+
+    return texts(parser.parse(expression))
+
+
+def test_every_alternative_is_found_through_scan():
+    missed = []
+    for r in L.rules():
+        for t in options(r.match.pattern.decode().removesuffix("(?= )")):
+            if r.match.search(f" {t.strip()} ".encode()) and not L.scan(t)[2]:
+                missed.append((r.label, t))
+    assert not missed
