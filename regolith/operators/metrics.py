@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regolith.functions.names import http_status, route_shape
+from regolith.scratch import stored
 
 #: Upper edges of the histogram, in the unit of the measure.
 EDGES = (1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0)
@@ -37,20 +38,20 @@ def exposition(counts: DataFrame) -> DataFrame:
 
 
 def nearest_rank(http: DataFrame, points: tuple[float, ...] = (0.5, 0.99), measure: str = "millis") -> DataFrame:
-    """Per route: the sample at index round((n - 1) * p) of the sorted samples, not an interpolation.
+    """Per route: the sample at index round((n - 1) * p) of the sorted samples, not an interpolation; nulls come first.
 
-    Equal samples are counted before the shuffle; the running count over the distinct values finds the index."""
+    Equal samples are counted before the shuffle. The distinct ones are dealt out by range over route and value; sums
+    for each partition and route tell which partition holds an index, and only there a running count finds it. So no
+    route's samples meet in one row or task."""
     route = route_shape(F.col("path")).alias("route")
-    values = http.groupBy(route, F.col(measure).alias("x")).agg(F.count("*").alias("c"))
-    listed = values.groupBy("route").agg(F.sort_array(F.collect_list(F.struct("x", "c"))).alias("xs"), F.sum("c").alias("n"))
-
-    def sample(p: float) -> Column:
-        at = F.round((F.col("n") - 1) * p)
-        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("x"))
-
-        def step(acc: Column, v: Column) -> Column:
-            return F.struct((acc["seen"] + v["c"]).alias("seen"), F.when(acc["seen"] <= at, v["x"]).otherwise(acc["x"]).alias("x"))
-
-        return F.aggregate("xs", start, step)["x"]
-
-    return listed.select("route", *(sample(p).alias(f"p{round(p * 100)}") for p in points))
+    counts = http.groupBy(route, F.col(measure).alias("x")).agg(F.count("*").alias("c"))
+    values = stored(counts.repartitionByRange("route", "x").withColumn("_part", F.spark_partition_id()), "ranks")
+    every, upto = Window.partitionBy("route"), Window.partitionBy("route").orderBy("_part")  # a row for each partition
+    sizes = values.groupBy("route", "_part").agg(F.sum("c").alias("size"))
+    sizes = sizes.select("route", "_part", "size", (F.sum("size").over(upto) - F.col("size")).alias("before"), F.sum("size").over(every).alias("n"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("point"), F.round((F.col("n") - 1) * p).alias("at")) for i, p in enumerate(points))))
+    hits = sizes.withColumn("w", wanted).where("before <= w.at and w.at < before + size").select(F.col("route").alias("_route"), F.col("_part").alias("_at"), "before", "w.point", "w.at")
+    near = values.join(hits, F.col("route").eqNullSafe(F.col("_route")) & (F.col("_part") == F.col("_at")))
+    running = Window.partitionBy("route", "_part", "point").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("end", F.col("before") + F.sum("c").over(running)).where("end - c <= at and at < end")
+    return near.groupBy("route").agg(*(F.max(F.when(F.col("point") == i, F.col("x"))).alias(f"p{round(p * 100)}") for i, p in enumerate(points)))
