@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from regolith.scratch import shared_dir, stored
 
-__all__ = ["discard", "mixed", "shared_dir", "stored", "table"]
+__all__ = ["discard", "mixed", "released", "shared_dir", "stored", "table", "tidied"]
 
 
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
@@ -19,6 +25,32 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def released() -> None:
+    """Gives memory that a Python worker no longer uses back to the system; workers are used again by later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
+def tidied(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A function for mapInArrow that leaves no unused memory in its worker when a partition ends."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            released()
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,18 +1,13 @@
 """Quality rules over words, symbols and repetition, and n-gram perplexity bands for each language.
 
-The language model is a modified Kneser-Ney model of ORDER symbols. A text's symbols are its characters, lower-cased
-and folded into 64 classes, with one class for the space between words; an n-gram is hashed by packing its classes,
-six bits each, which has no collisions. All documents are counted by Spark; each language's model is a pair of
-arrays, the sorted hashes and their log probabilities, with the back-off weights and the bigrams beside them.
-Since there are 64**ORDER hashes, a language's model has at most 3.2 MB at order 3 whatever the corpus, which is
-what allows to broadcast it.
+The language model is that of ngrams: modified Kneser-Ney over character n-grams of order 5, counted by Spark over all
+documents and kept as sorted hash arrays. A document is judged by the half of its language's documents that it is not
+in. The bands are quantiles of the documents' log perplexities in their language, fitted to each side on its own.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -20,98 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regolith.llm.common import mixed, stored, table
-
-ORDER, CLASSES, CLASS_BITS = 3, 64, 6
-GRAMS = CLASSES**ORDER
-#: Models: the most frequent languages have one each; the rarer ones and rows without a language share the last.
-MODELS = 64
-#: Half the width of a band in standard deviations; the least spread between documents, and the spread of one
-#: symbol's surprise within a document, both in nats.
-WIDTH, LEAST, WITHIN = 5.0, 0.1, 1.6
-#: Symbols that are counted before counts go to the table.
-CHUNK = 1 << 20
-
-
-class Model(NamedTuple):
-    hashes: np.ndarray  # sorted n-grams
-    logp: np.ndarray  # of each
-    contexts: np.ndarray  # sorted (n-1)-grams
-    backoff: np.ndarray  # log weight of each
-    lower: np.ndarray  # log probability of each bigram, by its hash
-
-
-@functools.cache
-def fold() -> np.ndarray:
-    """A class for each code point: 0 space; 1-26 letters; 27 digits; 28-39 marks; 40-61 beyond ASCII; 62 controls."""
-    cp = np.arange(0x110000, dtype=np.uint64)
-    out = (40 + mixed(cp) % np.uint64(22)).astype(np.uint32)
-    out[:128] = 28 + np.arange(128) % 12
-    out[:32] = out[127] = 62
-    out[48:58] = 27
-    for first in (65, 97):
-        out[first : first + 26] = np.arange(1, 27)
-    out[32] = 0
-    return out
-
-
-def hashes(words: str) -> np.ndarray:
-    """The n-grams of words joined by single spaces, one ending at each symbol and one at the end of the text."""
-    c = fold()[np.frombuffer(words.lower().encode("utf-32-le"), np.uint32)]
-    c = np.concatenate([np.zeros(ORDER - 1, np.uint32), c, np.zeros(1, np.uint32)])
-    out = c[: len(c) - ORDER + 1]
-    for i in range(1, ORDER):
-        out = out << np.uint32(CLASS_BITS) | c[i : len(c) - ORDER + 1 + i]
-    return out
-
-
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """Of the counts 1, 2 and 3 or more, at index 1 to 3, by the number of n-grams that occur 1 to 4 times."""
-    n = [0, *(int((counts == i).sum()) for i in range(1, 5))]
-    if not all(n[1:]):
-        return np.array([0, 0.5, 1.0, 1.5])
-    y = n[1] / (n[1] + 2 * n[2])
-    return np.clip([0, *(i - (i + 1) * y * n[i + 1] / n[i] for i in range(1, 4))], 0, [0, 0.95, 1.95, 2.95])
-
-
-def kneser_ney(grams: np.ndarray, counts: np.ndarray) -> Model:
-    """The model of a language's distinct n-grams, sorted, and their counts."""
-    order = 3
-    assert order == ORDER
-    last, pair, context = grams % CLASSES, grams % CLASSES**2, grams // CLASSES
-    # lower orders count the different symbols that precede
-    before2 = np.bincount(pair, minlength=CLASSES**2).reshape(CLASSES, CLASSES)
-    before1 = (before2 > 0).sum(0)
-    d1 = discounts(before1[before1 > 0])
-    total = max(before1.sum(), 1)
-    cut = d1[np.minimum(before1, 3)]
-    p1 = (before1 - cut) / total + cut.sum() / total / CLASSES
-    d2 = discounts(before2[before2 > 0])
-    cut = d2[np.minimum(before2, 3)]
-    total = before2.sum(1, keepdims=True)
-    p2 = np.where(total > 0, (before2 - cut + cut.sum(1, keepdims=True) * p1) / np.maximum(total, 1), p1)
-    d3 = discounts(counts)
-    contexts, at = np.unique(context, return_inverse=True)
-    total = np.bincount(at, counts)
-    cut = d3[np.minimum(counts, 3)]
-    weight = np.bincount(at, cut) / total
-    p3 = (counts - cut) / total[at] + weight[at] * p2.reshape(-1)[pair]
-    return Model(grams.astype(np.uint32), np.log(p3).astype(np.float32), contexts.astype(np.uint32), np.log(weight).astype(np.float32), np.log(p2).reshape(-1).astype(np.float32))
-
-
-def log_probabilities(model: Model, grams: np.ndarray) -> np.ndarray:
-    """Of each n-gram, by the stored one or else by its context's back-off weight and its bigram."""
-    if not len(model.hashes):
-        return np.full(len(grams), -np.log(CLASSES), np.float32)
-    at = np.minimum(np.searchsorted(model.hashes, grams), len(model.hashes) - 1)
-    out = model.logp[at]
-    new = np.flatnonzero(model.hashes[at] != grams)
-    if len(new):
-        g = grams[new]
-        c = np.minimum(np.searchsorted(model.contexts, g >> np.uint32(CLASS_BITS)), len(model.contexts) - 1)
-        known = model.contexts[c] == g >> np.uint32(CLASS_BITS)
-        out[new] = np.where(known, model.backoff[c], 0) + model.lower[g % np.uint32(CLASSES**2)]
-    return out
+from regolith.llm import ngrams
+from regolith.llm.common import mixed, stored, table, tidied
+
+#: A band reaches, on either side, REACH times as far from the median as the quantile TAIL: 4.1 deviations, where
+#: documents scatter normally. The deviation of a text of n symbols counts sqrt(n / (n + SHORT)) times, since the mean
+#: surprise of a short text scatters more.
+TAIL, REACH, SHORT = 0.05, 2.5, 1000
 
 
 def repeated_words(words: list[bytes], window: int = 8) -> int:
@@ -144,109 +54,100 @@ def features(text: bytes, words: list[bytes], joined: str) -> tuple[int, int, in
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def model_slots(df: DataFrame, lang: str) -> dict[str, int]:
-    """The languages that get a model of their own; there are fewer than MODELS."""
-    top = df.groupBy(F.col(lang).cast("string").alias("lang")).count().where("lang is not null").orderBy(F.desc("count"), "lang")
-    return {r.lang: i for i, r in enumerate(top.limit(MODELS - 1).collect())}
-
-
-def train(df: DataFrame, text: str, lang: str, slots: dict[str, int]) -> dict[int, Model]:
-    """Counts the n-grams of all whole texts and makes a model for each slot that has any.
-
-    A task adds up its texts' n-grams in one table for each language it meets and hands on each n-gram once;
-    Spark sums these by n-gram. What comes to the driver has at most 64**ORDER rows for each of at most MODELS slots."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
-        held: dict[int, list[np.ndarray]] = {}
-        size: dict[int, int] = {}
-
-        def add(slot: int) -> None:
-            grams = np.concatenate(held.pop(slot))
-            size.pop(slot)
-            if slot not in totals:
-                totals[slot] = np.zeros(GRAMS, np.int64)
-            totals[slot] += np.bincount(grams, minlength=GRAMS)
-
-        for b in batches:
-            for t, g in zip(map(pa.StringScalar.as_py, b[0]), b[1].to_pylist()):
-                if words := (t or "").encode().split():
-                    slot = slots.get(g, MODELS - 1)
-                    grams = hashes(b" ".join(words).decode())
-                    held.setdefault(slot, []).append(grams)
-                    size[slot] = size.get(slot, 0) + len(grams)
-                    if size[slot] >= CHUNK:
-                        add(slot)
-        for slot in list(held):
-            add(slot)
-        for slot, total in totals.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), slot, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "gram", "n"])
-
-    pairs = df.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    counted = pairs.mapInArrow(count, "slot int, gram int, n long").groupBy("slot", "gram").agg(F.sum("n").alias("n")).toArrow()
-    slot, gram, n = (counted[c].to_numpy() for c in ("slot", "gram", "n"))
-    out = {}
-    for s in np.unique(slot):
-        own = np.flatnonzero(slot == s)
-        own = own[np.argsort(gram[own])]
-        out[int(s)] = kneser_ney(gram[own].astype(np.int64), n[own])
-    return out
-
-
-def scored(df: DataFrame, text: str, lang: str, carry: list[str], slots: dict[str, int], models: dict[int, Model]) -> DataFrame:
-    """The columns `carry`, the features, the model's slot, symbols and log_perplexity (per symbol; null without words)."""
-    model = df.sparkSession.sparkContext.broadcast(models)  # at most MODELS times 3.2 MB
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = Model(*(np.zeros(0, np.uint32) for _ in range(5)))
-        for b in batches:
-            rows = []
-            for t, g in zip(map(pa.StringScalar.as_py, b["_text"]), b["_lang"].to_pylist()):
-                raw = (t or "").encode()
-                words = raw.split()
-                joined = b" ".join(words).decode()
-                slot = slots.get(g, MODELS - 1)
-                ppl, n = None, 0
-                if words:
-                    grams = hashes(joined)
-                    n = len(grams)
-                    ppl = -float(log_probabilities(model.value.get(slot, empty), grams).sum(dtype=np.float64)) / n
-                rows.append((*features(raw, words, joined), slot, n, ppl))
-            new = [pa.array(c, f.type) for c, f in zip(zip(*rows), fields)] if rows else [pa.array([], f.type) for f in fields]
-            kept = [b.column(i) for i, f in enumerate(b.schema) if f.name not in ("_text", "_lang")]
-            yield pa.RecordBatch.from_arrays([*kept, *new], [f"c{i}" for i in range(len(kept) + len(new))])
-
-    fields = [pa.field(f, pa.int64()) for f in FEATURES] + [pa.field("_slot", pa.int32()), pa.field("_symbols", pa.int64()), pa.field("log_perplexity", pa.float64())]
-    made = [T.StructField(f"c{len(carry) + i}", T.IntegerType() if x.type == pa.int32() else T.DoubleType() if x.type == pa.float64() else T.LongType()) for i, x in enumerate(fields)]
-    source = df.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(carry)), F.col(text).cast("string").alias("_text"), F.col(lang).cast("string").alias("_lang"))
-    out = source.mapInArrow(run, T.StructType([*source.schema.fields[: len(carry)], *made]))
-    return out.toDF(*(f"_carry{i}" for i in range(len(carry))), *(f.name for f in fields))
+def scored(df: DataFrame, text: str, lang: str, carry: list[str], models: DataFrame, block: int = ngrams.BLOCK) -> DataFrame:
+    """The columns `carry` (as _carry0, ...), the features, _lang, symbols and log_perplexity (per symbol; null without
+    words). The models are broadcast in passes of at most `block` entries; a text is read in the pass of its key, and
+    again for each further pass of a language whose model is larger than that."""
+    t, g = F.col(text).cast("string"), F.col(lang).cast("string")
+    source = df.select(*(F.col(c).alias(f"_carry{i}") for i, c in enumerate(carry)), g.alias("_lang"), t.alias("_text"), ngrams.model_key(t, g, True).alias("_key"))
+    found = ngrams.passes(models, block)
+    first, later = [p for p in found if not p.later], [p for p in found if p.later]
+    kept = len(carry) + 1
+    fields = [pa.field(f, pa.int64()) for f in FEATURES] + [pa.field("symbols", pa.int64()), pa.field("_sum", pa.float64())]
+    made = [T.StructField(x.name, T.DoubleType() if x.type == pa.float64() else T.LongType()) for x in fields]
+    digest = F.sha2(F.coalesce("_text", F.lit("")), 256)
+
+    def of_pass(one: ngrams.Pass, rows: DataFrame) -> DataFrame:
+        model = df.sparkSession.sparkContext.broadcast((ngrams.loaded(models, one), one.keys))  # at most `block` entries
+        width = len(rows.columns) - 2
+
+        @tidied
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, spans = model.value
+            for b in batches:
+                counts, texts = [], []
+                for t, key in zip(map(pa.StringScalar.as_py, b.column(width)), b.column(width + 1).to_pylist()):
+                    raw = (t or "").encode()
+                    words = raw.split()
+                    line = b" ".join(words).decode()
+                    counts.append(features(raw, words, line))
+                    texts.append((key, line))
+                sums = ngrams.log_likelihoods(texts, known, spans)
+                rows = [(*c, n, x) for c, (x, n) in zip(counts, sums)]
+                new = [pa.array(c, f.type) for c, f in zip(zip(*rows), fields)] if rows else [pa.array([], f.type) for f in fields]
+                yield pa.RecordBatch.from_arrays([*b.columns[:width], *new], [*b.schema.names[:width], *(f.name for f in fields)])
+
+        return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:width], *made]))
+
+    rows = source if not later else source.select(*source.columns[:kept], digest.alias("_digest"), "_text", "_key")
+    out = None
+    elsewhere = [k for p in first[1:] for k in p.keys]
+    for i, p in enumerate(first):
+        mine = rows if len(first) == 1 else rows.where(F.col("_key").isin(list(p.keys)) if i else ~F.col("_key").isin(elsewhere))
+        done = of_pass(p, mine)
+        out = done if out is None else out.unionAll(done)
+    if later:
+        more = None
+        for i, p in enumerate(later):
+            again = source.where(F.col("_key").isin(list(p.keys))).select("_lang", digest.alias("_digest"), F.lit(i).alias("_pass"), "_text", "_key")
+            again = of_pass(p, again).select("_lang", "_digest", "_pass", "_sum").dropDuplicates(["_lang", "_digest", "_pass"])
+            more = again if more is None else more.unionAll(again)
+        more = more.groupBy(F.col("_lang").alias("_l"), F.col("_digest").alias("_d")).agg(F.sum("_sum").alias("_more"))
+        out = out.join(more, F.col("_lang").eqNullSafe(F.col("_l")) & (F.col("_digest") == F.col("_d")), "left").withColumn("_sum", F.col("_sum") + F.coalesce("_more", F.lit(0.0)))
+    mean = F.when(F.col("symbols") > 0, -F.col("_sum") / F.col("symbols"))
+    return out.select(*(f"_carry{i}" for i in range(len(carry))), "_lang", *FEATURES, "symbols", mean.alias("log_perplexity"))
 
 
 def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def quality(df: DataFrame, carry: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+def bands(done: DataFrame) -> DataFrame:
+    """_lang, _middle, _down and _up: the median log perplexity of each language, and how far a long text may lie from
+    it. Rows that fail the base rules don't count, and equal values of equally long texts count once, so that copies
+    don't narrow a band. With fewer than 20 values all of them are inside."""
+    rows = done.where(~base_failed()).groupBy("_lang", "symbols", "log_perplexity").agg(F.count("*").alias("_n"))
+    middle = rows.groupBy("_lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("_middle"))
+    middle = middle.withColumnRenamed("_lang", "_l")
+    apart = rows.join(middle, F.col("_lang").eqNullSafe(F.col("_l"))).select("_lang", "_middle", (scale() * (F.col("log_perplexity") - F.col("_middle"))).alias("_d"))
+    ends = apart.groupBy("_lang", "_middle").agg(F.percentile_approx("_d", [TAIL, 1 - TAIL], 10000).alias("p"), F.min("_d").alias("a"), F.max("_d").alias("b"), F.count("*").alias("c"))
+    few = F.col("c") < 20
+    return ends.select(
+        F.col("_lang").alias("_l"),
+        "_middle",
+        F.when(few, F.col("a")).otherwise(REACH * F.least(F.col("p")[0], F.lit(0.0))).alias("_down"),
+        F.when(few, F.col("b")).otherwise(REACH * F.greatest(F.col("p")[1], F.lit(0.0))).alias("_up"),
+    )
+
+
+def scale() -> Column:
+    return F.sqrt(F.col("symbols") / (F.col("symbols") + SHORT))
+
+
+def quality(df: DataFrame, carry: list[str], text: str = "text", lang: str = "lang", block: int = ngrams.BLOCK) -> DataFrame:
     """Columns `carry` of every row, with the rules' counts, log_perplexity, the row's band, base_failed and kept.
 
-    A band reaches from the language's median log perplexity WIDTH deviations down and up. The deviation is that
-    of the documents (by their first and last deciles, so that neither a tenth of junk on a side nor a third of
-    equal rows decides it), widened for short texts, whose mean surprise scatters. Rows that fail the base rules
-    don't count towards the bands. Rows without words have no perplexity and fail the base rules. Null texts count
-    as empty, null languages as one language of their own. Repeated rows are judged like any.
-
-    Texts are read twice: to count, and to score; the scores are written once and the bands are a sketch over them.
-    """
-    slots = model_slots(df, lang)
-    models = train(df, text, lang, slots)
-    done = stored(scored(df, text, lang, carry, slots, models), "quality-scores").withColumn("base_failed", base_failed())
-    spread = done.where("not base_failed").groupBy("_slot").agg(F.percentile_approx("log_perplexity", [0.1, 0.5, 0.9], 10000).alias("p"))
-    spread = spread.select("_slot", F.col("p")[1].alias("_middle"), F.greatest((F.col("p")[2] - F.col("p")[0]) / 2.5631, F.lit(LEAST)).alias("_spread"))
-    done = done.join(F.broadcast(spread), "_slot", "left")  # at most MODELS rows
-    half = WIDTH * F.sqrt(F.col("_spread") ** 2 + WITHIN**2 / F.greatest("_symbols", F.lit(1)))
-    done = done.withColumn("band_low", F.col("_middle") - half).withColumn("band_high", F.col("_middle") + half)
+    Rows without words have no perplexity and fail the base rules. Null texts count as empty, null languages as one
+    language of their own. Repeated rows are judged like any.
+
+    Texts are read twice: to count, and to score (once more for each further pass over a language whose model has more
+    than `block` entries); the scores are written once and the bands are sketches over them."""
+    models = ngrams.language_models(df, text, lang)
+    done = stored(scored(df, text, lang, carry, models, block), "quality-scores").withColumn("base_failed", base_failed())
+    done = done.join(bands(done), F.col("_lang").eqNullSafe(F.col("_l")), "left")  # one row for each language
+    # the edges themselves are inside, whatever the rounding
+    low, high = F.col("_middle") + (F.col("_down") - 1e-9) / scale(), F.col("_middle") + (F.col("_up") + 1e-9) / scale()
+    done = done.withColumn("band_low", low).withColumn("band_high", high)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False))
     return done.select(
         *(F.col(f"_carry{i}").alias(c) for i, c in enumerate(carry)), *FEATURES, "log_perplexity", "band_low", "band_high", "base_failed", (~F.col("base_failed") & inside).alias("kept")
