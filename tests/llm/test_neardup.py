@@ -21,14 +21,14 @@ def find(parent, x):
     return x
 
 
-def brute(docs):
+def brute(docs, per_cent=85):
     """doc id -> (set size, smallest id reachable), over all pairs that share a shingle."""
     sets = {k: shingle_set(t) for k, t in docs.items()}
     where, parent = defaultdict(list), {k: k for k in sets}
     for k, s in sets.items():
         shared = Counter(o for x in s for o in where[x])
         for o, both in shared.items():
-            if 100 * both >= 85 * (len(s) + len(sets[o]) - both):
+            if 100 * both >= per_cent * (len(s) + len(sets[o]) - both):
                 a, b = find(parent, k), find(parent, o)
                 parent[max(a, b)] = min(a, b)
         for x in s:
@@ -36,10 +36,10 @@ def brute(docs):
     return {k: (len(s), find(parent, k)) for k, s in sets.items()}
 
 
-def check(spark, docs):
+def check(spark, docs, links):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(df).collect()}
-    assert got == {k: (n, c, k == c) for k, (n, c) in brute(docs).items()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(df, links=links).collect()}
+    assert got == {k: (n, c, k == c) for k, (n, c) in brute(docs, links.per_cent).items()}
 
 
 def test_every_coordinate_fills_and_estimates():
@@ -50,12 +50,15 @@ def test_every_coordinate_fills_and_estimates():
     for both, each in ((90, 5), (800, 100), (500, 500)):
         x = rng.integers(0, 2**63, both + 2 * each).astype(np.uint64)
         a, b = N.sketch(x[: both + each]), N.sketch(np.concatenate([x[:both], x[both + each :]]))
-        errors.append(abs((a == b).mean() - both / (both + 2 * each)))
-        assert 0.5 - (1 - both / (both + 2 * each)) / 2 - 0.1 < 1  # bits agree at least as often
+        same = both / (both + 2 * each)
+        errors.append(abs((a == b).mean() - same))
+        x, y = (np.unpackbits(N.sign_bits(c).view(np.uint8)).reshape(N.PLANES, N.BINS) for c in (a, b))
+        errors.append(abs((x != y).any(0).mean() - (1 - same) * (1 - 0.5**N.PLANES)))
     assert max(errors) < 0.1
 
 
-def test_groups_equal_brute_force(spark):
+@pytest.mark.parametrize("links", [N.Links(), N.STAGE, N.Links(deviations=None)])
+def test_groups_equal_brute_force(spark, links):
     r = random.Random(8)
     word = lambda: r.choice("abcdefghij") + str(r.randint(0, 60))
     docs, base = {}, [word() for _ in range(120)]
@@ -71,7 +74,7 @@ def test_groups_equal_brute_force(spark):
             words = [word() for _ in range(r.randint(1, 150))] + (base[:60] if r.random() < 0.5 else [])
         docs[i * 3] = " ".join(words)
     docs |= {901: "", 902: None, 903: "One two", 904: "one TWO", 905: "one", 906: " \n "}
-    check(spark, docs)
+    check(spark, docs, links)
 
 
 def test_op5(spark, sf, sample):
@@ -81,6 +84,21 @@ def test_op5(spark, sf, sample):
     assert got == want
 
 
+def test_all_links_of_a_larger_table(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    check(spark, docs, N.Links())
+
+
+def test_rows_are_told_apart_by_id_and_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(2, a, 1), (5, b, 2), (5, a, 3), (None, c, 4), (None, c + " x", 5), (None, b, 6), (9, "z", 7), (9, "z", 8), (7, "", 9), (7, "", 10), (None, None, 11)]
+    got = N.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string, _a int")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in got) == sorted(
+        [(False, 2, a), (False, 5, b), (False, 9, "z"), (False, 7, ""), (False, 7, ""), (True, 0, "")] + [(r.doc_id is None, 0, r.text) for r in got if r.doc_id is None and r.text]
+    )
+    assert sum(r.doc_id is None and bool(r.text) for r in got) == 1
+
+
 def test_odd_rows(documents, nothing):
     got = N.near_duplicates(documents).collect()
     assert len(got) == documents.count()
