@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regolith.llm.common import table
+from regolith.llm.common import refuse_clash, table, tidied
 
 #: Entries of a worker's memo, and the longest chunk kept in it, in characters.
 MEMO, LONGEST = 150_000, 64
@@ -141,6 +141,7 @@ Batches = Iterator[pa.RecordBatch]
 def encoding(path: str, pattern: str) -> Callable[[Batches], Batches]:
     """From batches (key, text) to batches (key, ids)."""
 
+    @tidied
     def run(batches: Batches) -> Batches:
         encode = encoder(path, pattern)
         schema = None
@@ -155,6 +156,7 @@ def encoding(path: str, pattern: str) -> Callable[[Batches], Batches]:
 def decoding(path: str, ids: str, into: str) -> Callable[[Batches], Batches]:
     """Adds to batches what their ids stand for."""
 
+    @tidied
     def run(batches: Batches) -> Batches:
         entry = vocabulary(path).__getitem__
         for b in batches:
@@ -176,17 +178,21 @@ def schema_of(df: DataFrame, *binaries: str) -> T.StructType:
 def bpe_encode(df: DataFrame, key: str, text: str, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """key and ids (binary: little-endian unsigned 32-bit integers) of each row's whole text, null as empty. Each
     match of the pattern is encoded on its own. No shuffle; repeated rows and null keys stay as they are."""
+    refuse_clash([key], ["ids"])
     rows = keyed(df, key, text)
     return rows.mapInArrow(encoding(path, pattern), schema_of(rows, "ids")).withColumnRenamed("key", key)
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """Adds the bytes that the ids stand for. Ids outside the vocabulary raise an error; null ids give null."""
+    """Adds the bytes that the ids stand for. Ids outside the vocabulary raise an error; null ids give null; a column
+    that has the name `into` already is refused."""
+    refuse_clash(df.columns, [into])
     return df.mapInArrow(decoding(path, ids, into), T.StructType([*df.schema.fields, T.StructField(into, T.BinaryType())]))
 
 
 def bpe_round_trip(df: DataFrame, key: str, text: str, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """key, ids and decoded: bpe_encode and bpe_decode in one pass, by one worker."""
+    refuse_clash([key], ["ids", "decoded"])
     encode, decode = encoding(path, pattern), decoding(path, "ids", "decoded")
     rows = keyed(df, key, text)
     return rows.mapInArrow(lambda batches: decode(encode(batches)), schema_of(rows, "ids", "decoded")).withColumnRenamed("key", key)

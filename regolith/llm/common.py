@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from regolith.scratch import shared_dir, stored
 
-__all__ = ["discard", "mixed", "released", "shared_dir", "stored", "table", "tidied"]
+__all__ = ["discard", "mixed", "refuse_clash", "released", "shared_dir", "stored", "table", "tidied"]
 
 
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
@@ -55,6 +55,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def refuse_clash(kept: list[str], made: list[str]) -> None:
+    """Raises a ValueError if a column that stays has the name of one that is made (names differ by more than case)."""
+    if both := {c.lower() for c in kept} & {c.lower() for c in made}:
+        raise ValueError(f"columns {sorted(both)} are made here; rename those of the input")
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), elementwise over uint64."""
     x = x ^ (x >> np.uint64(30))

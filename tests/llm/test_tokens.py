@@ -27,9 +27,7 @@ def tiktoken_encoding():
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
 
 
 def odd_texts(n=4000, seed=1):
@@ -68,10 +66,31 @@ def test_encoding_odd_rows(documents, nothing):
 
 def test_packing_encoder_equals_tokenizers(tokenizer):
     encode = packing.encoder(P.path("byte_bpe_50k.json"))
-    for text in [*odd_texts(seed=2), "ab" * 20000]:
+    special = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y", "<|endoftext|" + "z" * 9]
+    assert packing.byte_ranks(P.path("byte_bpe_50k.json"))[1] == ["<|endoftext|>"] and 50256 in tokenizer.encode(special[0], add_special_tokens=False).ids
+    for text in [*odd_texts(seed=2), *special, "ab" * 20000]:
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text[:50])
 
 
+def test_other_files_go_to_the_library(tmp_path, tokenizer):
+    import json
+
+    with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    assert packing.byte_ranks(str(tmp_path / "t.json")) is None
+    encode = packing.encoder(str(tmp_path / "t.json"))
+    assert np.frombuffer(encode("hello"), "<u4").tolist() == tokenizer.encode(" hello", add_special_tokens=False).ids
+
+
+def test_clashing_names_are_refused(documents):
+    df = documents.withColumnRenamed("doc_id", "start").withColumnRenamed("key", "decoded")
+    for f in (lambda: packing.pack(df, "start", "text", P.path("byte_bpe_50k.json")), lambda: bpe.bpe_decode(df, P.path("byte_bpe_50k.tiktoken"), "text")):
+        with pytest.raises(ValueError):
+            f()
+
+
 def test_balanced_covers_and_fills():
     r = random.Random(3)
     for _ in range(50):
