@@ -240,11 +240,12 @@ def node_labels(df: DataFrame, key: str, text: str, nodes: DataFrame, links: Lin
     at = full.select("band", "a", own.alias("label")) if labels is None else full.join(labels, own == F.col("node"), "left").select("band", "a", F.coalesce("label", own).alias("label"))
     counts = at.groupBy("band", "label").agg(F.count("*").alias("c"))
     mixed_bands = counts.groupBy("band").agg(F.count("*").alias("labels"), F.max(F.struct("c", "label"))["label"].alias("major")).where("labels > 1")
-    rest = stored(at.join(mixed_bands.select("band", "major"), "band"), "neardup-rest")
+    of = nodes.select(F.col("node").alias("n"), "bands")
+    rest = stored(at.join(mixed_bands.select("band", "major"), "band").join(of, F.col("a.node") == F.col("n")).drop("n"), "neardup-rest")
     discard(spark, full)
-    minor = rest.where("label <> major").select("band", F.col("a").alias("b"), F.col("label").alias("other"))
-    # each pair from one side; it is in all its common bands until verified() takes it once
-    once = (F.col("label") == F.col("major")) | (F.col("a.node") < F.col("b.node"))
+    minor = rest.where("label <> major").select("band", F.col("a").alias("b"), F.col("label").alias("other"), F.col("bands").alias("others"))
+    # every common band of such a pair is here: it is taken in its first one, and from one side
+    once = ((F.col("label") == F.col("major")) | (F.col("a.node") < F.col("b.node"))) & (F.array_intersect("bands", "others")[0] == F.col("band"))
     more = verified(rest.join(minor, "band").where((F.col("label") != F.col("other")) & alike("a", "b", links) & once).select(*ordered("a", "b")))
     discard(spark, rest)
     if more is None or not more.limit(1).count():
