@@ -37,10 +37,12 @@ ALPHABET = 256
 ODD = [int(x) | 1 for x in mixed(np.arange(101, 101 + ORDER, dtype=np.uint64))]
 
 
-class Model(NamedTuple):
-    hashes: np.ndarray  # sorted, of n-grams of all lengths
+class Arrays(NamedTuple):
+    """A shard of a language's model."""
+
+    hashes: np.ndarray  # of n-grams of all lengths
     logp: np.ndarray
-    contexts: np.ndarray  # sorted
+    contexts: np.ndarray  # hashes of contexts
     backoff: np.ndarray  # log weights
     symbols: int  # different ones, and one for all others
 
@@ -114,13 +116,19 @@ class Tally:
         ends = np.flatnonzero(ends)
         of = np.repeat(np.array([k for k, _ in self.parts], np.int32), [len(p) - ORDER + 1 for _, p in self.parts])
         h = hash_at(mixed_symbols(a), ends, ORDER) ^ mixed(of.astype(np.uint64) + np.uint64(77))
-        new, first, n = np.unique(h, return_index=True, return_counts=True)
-        grams = a[ends[first][:, None] + np.arange(1 - ORDER, 1)]
-        every = np.concatenate([self.hashes, new])
-        self.hashes, first_of, at_of = np.unique(every, return_index=True, return_inverse=True)
-        self.counts = np.bincount(at_of, np.concatenate([self.counts, n]), len(self.hashes)).astype(np.int64)
-        self.grams = np.concatenate([self.grams, grams])[first_of]
-        self.of = np.concatenate([self.of, of[first]])[first_of]
+        found, n = np.unique(h, return_counts=True)
+        at = np.searchsorted(self.hashes, found)
+        known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == found if len(self.hashes) else np.zeros(len(found), bool)
+        self.counts[at[known]] += n[known]
+        if not known.all():
+            new, at = found[~known], at[~known]
+            _, here = (table := Table.of(new)).find(h)
+            here = np.flatnonzero(here)
+            place = np.zeros(len(new), np.int64)
+            place[table.find(h[here])[0]] = here  # any of an n-gram's places
+            self.hashes, self.counts = np.insert(self.hashes, at, new), np.insert(self.counts, at, n[~known])
+            self.grams = np.insert(self.grams, at, a[ends[place][:, None] + np.arange(1 - ORDER, 1)], axis=0)
+            self.of = np.insert(self.of, at, of[place])
         self.parts, self.size = [], 0
 
     def rows(self) -> Iterator[pa.RecordBatch]:
@@ -179,10 +187,10 @@ def statistics(counts: DataFrame) -> DataFrame:
     n = F.col("n")
     of = [F.count_if(n == i).cast("double") for i in range(1, 5)]
     found = every.groupBy("key", "k").agg(F.count("*").alias("c"), *(x.alias(f"n{i + 1}") for i, x in enumerate(of)))
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
     whole = F.least("n1", "n2", "n3", "n4") > 0
     cuts = [
-        F.when(whole, F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(0.5 * i).alias(f"d{i}") for i in (1, 2, 3)
+        F.when(whole, F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))))).otherwise(0.5 * i).alias(f"d{i}") for i in (1, 2, 3)
     ]
     found = found.select("key", "k", "c", *cuts)
     size = found.groupBy("key").agg(F.sum("c").alias("c"), (F.sum(F.when(F.col("k") == 1, F.col("c"))) + 1).alias("symbols"))
@@ -194,45 +202,67 @@ def statistics(counts: DataFrame) -> DataFrame:
     return rows.select("key", "k", "gram", ((n - F.col("cut")) / F.col("total")).alias("share"), (F.sum("cut").over(within) / F.col("total")).alias("weight"), "symbols", "shards")
 
 
-def found_in(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each value would be in a sorted table, and whether it is there."""
-    if not len(table):
-        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return at, table[at] == values
-
-
-def interpolated(k: np.ndarray, grams: list[str], share: np.ndarray, weight: np.ndarray, count: int) -> Model:
+class Table(NamedTuple):
+    """Sorted distinct hashes, and for each value of their first `bits` bits where those with it begin."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    bits: int
+
+    @classmethod
+    def of(cls, hashes: np.ndarray) -> Table:
+        bits = max(len(hashes).bit_length() + 1, 1)
+        starts = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+        return cls(hashes, starts.astype(np.uint32), bits)
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each value is, and whether it is there."""
+        if not len(self.hashes):
+            return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+        last = len(self.hashes) - 1
+        at = self.starts[(values >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int64)
+        here = self.hashes[np.minimum(at, last)]
+        known = here == values
+        left = np.flatnonzero(here < values)
+        while len(left):
+            at[left] += 1
+            left = left[at[left] <= last]
+            here = self.hashes[at[left]]
+            known[left] = here == values[left]
+            left = left[here < values[left]]
+        return np.minimum(at, last), known
+
+
+def interpolated(k: np.ndarray, grams: list[str], share: np.ndarray, weight: np.ndarray, count: int) -> Arrays:
     """The arrays of one shard, by its n-grams of all lengths: p = share + weight * p of the n-gram without its first
     symbol, down to one of `count` equal symbols."""
     hashes, logp, contexts, backoff = [], [], [], []
-    lower = np.array([mixed(np.zeros(1, np.uint64))[0]]), np.array([1 / count])
+    lower = mixed(np.zeros(1, np.uint64)), np.array([1 / count])
     for size in range(1, ORDER + 1):
         own = np.flatnonzero(k == size)
         m = mixed_symbols(np.frombuffer("".join(grams[i] for i in own).encode("utf-32-le"), np.uint32)).reshape(-1)
         ends = np.arange(1, len(own) + 1) * size - 1
-        at, known = found_in(lower[0], hash_at(m, ends, size - 1))
+        at, known = Table.of(lower[0]).find(hash_at(m, ends, size - 1))
         p = share[own] + weight[own] * np.where(known, lower[1][at], 0)
         h = hash_at(m, ends, size)
         order = np.argsort(h)
         lower = h[order], p[order]
         hashes.append(lower[0])
-        logp.append(np.log(lower[1]))
+        logp.append(np.log(lower[1]).astype(np.float32))
         context, first = np.unique(hash_at(m, ends - 1, size - 1), return_index=True)
         contexts.append(context)
-        backoff.append(np.log(weight[own][first]))
-    return joined([Model(*map(np.concatenate, (hashes, logp, contexts, backoff)), count)])
+        backoff.append(np.log(weight[own][first]).astype(np.float32))
+    return Arrays(*map(np.concatenate, (hashes, logp, contexts, backoff)), count)
 
 
-def joined(models: list[Model]) -> Model:
-    """The arrays of several shards of a language as one; entries that are in several are there once."""
-    hashes, at = np.unique(np.concatenate([m.hashes for m in models]), return_index=True)
-    contexts, of = np.unique(np.concatenate([m.contexts for m in models]), return_index=True)
-    logp, backoff = (np.concatenate([getattr(m, x) for m in models]).astype(np.float32) for x in ("logp", "backoff"))
-    return Model(hashes, logp[at], contexts, backoff[of], models[0].symbols)
+def joined(parts: list[Arrays]) -> Model:
+    """The arrays of a language's shards as one model; entries that are in several shards are there once."""
+    hashes, at = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True)
+    contexts, of = np.unique(np.concatenate([p.contexts for p in parts]), return_index=True)
+    return Model(Table.of(hashes), np.concatenate([p.logp for p in parts])[at], Table.of(contexts), np.concatenate([p.backoff for p in parts])[of], parts[0].symbols)
 
 
-ARRAYS = pa.schema([("key", pa.string()), ("shard", pa.int32()), ("shards", pa.int32()), ("symbols", pa.int64()), ("entries", pa.int64()), *((x, pa.binary()) for x in Model._fields[:4])])
+ARRAYS = pa.schema([("key", pa.string()), ("shard", pa.int32()), ("shards", pa.int32()), ("symbols", pa.int64()), ("entries", pa.int64()), *((x, pa.binary()) for x in Arrays._fields[:4])])
 
 
 def language_models(df: DataFrame, text: str, lang: str) -> DataFrame:
@@ -243,7 +273,7 @@ def language_models(df: DataFrame, text: str, lang: str) -> DataFrame:
         name, shard = (x.as_py() for x in key)
         m = interpolated(rows["k"].to_numpy(), rows["gram"].to_pylist(), rows["share"].to_numpy(), rows["weight"].to_numpy(), rows["symbols"][0].as_py())
         row = {"key": name, "shard": shard, "shards": rows["shards"][0].as_py(), "symbols": m.symbols, "entries": len(m.hashes)}
-        return pa.Table.from_pylist([row | {x: getattr(m, x).tobytes() for x in Model._fields[:4]}], schema=ARRAYS)
+        return pa.Table.from_pylist([row | {x: getattr(m, x).tobytes() for x in Arrays._fields[:4]}], schema=ARRAYS)
 
     rows = statistics(stored(gram_counts(df, text, lang), "quality-counts"))
     at = lambda i: F.ascii(F.expr(f"substring(gram, k - {i}, 1)")).cast("long")
@@ -288,13 +318,21 @@ def loaded(models: DataFrame, one: Pass) -> dict[str, Model]:
     if len(one.keys) == 1:
         (first, last, _), *_ = one.keys.values()
         rows = rows.where((F.col("shard") >= first) & (F.col("shard") < last))
-    parts: dict[str, list[Model]] = {}
+    parts: dict[str, list[Arrays]] = {}
     for r in rows.toArrow().to_pylist():
         kinds = (np.uint64, np.float32, np.uint64, np.float32)
-        parts.setdefault(r["key"], []).append(Model(*(np.frombuffer(r[x], kind) for x, kind in zip(Model._fields[:4], kinds)), r["symbols"]))
+        parts.setdefault(r["key"], []).append(Arrays(*(np.frombuffer(r[x], kind) for x, kind in zip(Arrays._fields[:4], kinds)), r["symbols"]))
     return {key: joined(p) for key, p in parts.items()}
 
 
+class Model(NamedTuple):
+    grams: Table
+    logp: np.ndarray
+    contexts: Table
+    backoff: np.ndarray
+    symbols: int
+
+
 def log_probabilities(model: Model | None, a: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Of the symbol at each of the places `ends`, after the ORDER - 1 symbols before it."""
     if model is None:
@@ -303,12 +341,12 @@ def log_probabilities(model: Model | None, a: np.ndarray, ends: np.ndarray) -> n
     out = np.zeros(len(ends))
     left = np.arange(len(ends))
     for size in range(ORDER, 0, -1):
-        at, known = found_in(model.hashes, hash_at(m, ends[left], size))
+        at, known = model.grams.find(hash_at(m, ends[left], size))
         out[left[known]] += model.logp[at[known]]
         left = left[~known]
         if not len(left):
             return out
-        at, known = found_in(model.contexts, hash_at(m, ends[left] - 1, size - 1))
+        at, known = model.contexts.find(hash_at(m, ends[left] - 1, size - 1))
         out[left[known]] += model.backoff[at[known]]
     out[left] -= math.log(model.symbols)
     return out

@@ -29,7 +29,7 @@ LENGTH = 2048
 #: Tokens at which a piece's quadratic cost equals its linear cost.
 QUADRATIC = 2048
 #: A block is packed once it has so many documents, or so many bytes of ids.
-BLOCK, BLOCK_BYTES = 4096, 32 << 20
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 END_ID = 1
 #: Characters of a word beyond which tiktoken isn't used.
 LONG_WORD = 2000

@@ -146,7 +146,7 @@ def quality(df: DataFrame, carry: list[str], text: str = "text", lang: str = "la
     done = stored(scored(df, text, lang, carry, models, block), "quality-scores").withColumn("base_failed", base_failed())
     done = done.join(bands(done), F.col("_lang").eqNullSafe(F.col("_l")), "left")  # one row for each language
     # the edges themselves are inside, whatever the rounding
-    low, high = F.col("_middle") + (F.col("_down") - 1e-9) / scale(), F.col("_middle") + (F.col("_up") + 1e-9) / scale()
+    low, high = (F.col("_middle") + F.try_divide(F.col(end) + more, scale()) for end, more in (("_down", -1e-9), ("_up", 1e-9)))
     done = done.withColumn("band_low", low).withColumn("band_high", high)
     inside = F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(False))
     return done.select(
