@@ -11,10 +11,12 @@ even length, so `<`, one backslash, `|` stands for `<|` alone and no text holds
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regolith.llm.common import table
+from regolith.llm.common import refuse_clash, table
 
 TURN, TEXT, ALSO, END = "<|turn|>", "<|text|>", "<|also|>", "<|end|>"
 #: Turns of this role are learned.
@@ -30,26 +32,43 @@ def unescaped(x: Column) -> Column:
 
 
 def sorted_turns(df: DataFrame, key: str, turn: str, role: str, text: str) -> DataFrame:
-    """key and turns: an array of (turn, role, text), in the order of these three; null roles and texts as empty."""
+    """key and turns: an array of (turn, role, text), in the order of these three; null roles and texts as empty. A row
+    without a key is a conversation of its own, so that such rows don't meet in one task."""
     one = F.struct(
         F.col(turn).alias("turn"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
     )
-    return df.select(F.col(key).alias("key"), one.alias("t")).groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    rows = df.select(F.col(key).alias("key"), alone.alias("alone"), one.alias("t"))
+    return rows.groupBy("key", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns")).drop("alone")
+
+
+def held(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x computed once however often f's inner functions use it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def numbers(n: Column) -> Column:
+    """0 to n - 1."""
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
 def merged(turns: Column) -> Column:
-    """Blocks (role, texts) of adjacent turns of the same role."""
+    """Blocks (role, texts) of adjacent turns of the same role: cut out between the places where the role changes."""
+    n = F.size(turns)
+    role = lambda i: F.get(turns, i)["role"]
+    starts = F.filter(numbers(n), lambda i: (i == 0) | (role(i) != role(i - 1)))
+
+    def blocks(starts: Column) -> Column:
+        def block(at: Column, j: Column) -> Column:
+            end = F.coalesce(F.get(starts, j + 1), n)
+            texts = F.transform(F.slice(turns, at + 1, end - at), lambda t: t["text"])
+            return F.struct(role(at).alias("role"), texts.alias("texts"))
 
-    def add(blocks: Column, t: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        same = (F.size(blocks) > 0) & (F.try_element_at(blocks, F.lit(-1))["role"] == t["role"])
-        longer = F.struct(t["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))
-        new = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
-        return F.when(same, F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(longer))).otherwise(F.concat(blocks, F.array(new)))
+        return F.transform(starts, block)
 
-    return F.aggregate(turns, F.expr("cast(array() as array<struct<role: string, texts: array<string>>>)"), add)
+    return held(starts, blocks)
 
 
 def segments(blocks: Column) -> Column:
@@ -68,25 +87,45 @@ def segments(blocks: Column) -> Column:
     return F.flatten(F.transform(blocks, of))
 
 
+#: Elements whose running sums are built up at once: an array grows by being copied, so a long one is summed in parts.
+PART = 256
+
+
+def running_sums(sizes: Column) -> Column:
+    """Of an array of longs, the sum of what stands before each element."""
+
+    def sums(values: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        return F.aggregate(values, state, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+
+    zero = F.lit(0).cast("long")
+
+    def of(sizes: Column) -> Column:
+        parts = F.transform(numbers(F.ceil(F.size(sizes) / PART).cast("int")), lambda i: F.slice(sizes, i * PART + 1, F.lit(PART)))
+        before = sums(F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, x: a + x)), zero)
+        return F.flatten(F.zip_with(parts, before, sums))
+
+    return held(sizes, of)
+
+
 def format_chats(df: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """key, formatted, and loss_spans: (start, length) in code points, from 0, of each learned text in it.
 
-    Turns with the same number are ordered by role and text; repeated rows are turns of their own. One conversation
-    becomes one row, so its turns must fit in a task; rows without a key are one conversation. An empty frame gives
-    an empty frame."""
-    parts = sorted_turns(df, key, turn, role, text).select("key", segments(merged(F.col("turns"))).alias("parts"))
-
-    def mark(state: Column, s: Column) -> Column:
-        n = F.length(s["part"]).cast("long")
-        span = F.array(F.struct(state["at"].alias("start"), n.alias("length")))
-        return F.struct((state["at"] + n).alias("at"), F.when(s["learned"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start: bigint, length: bigint>>)").alias("spans"))
-    return parts.select(
-        F.col("key").alias(key),
-        F.array_join(F.transform("parts", lambda s: s["part"]), "").alias("formatted"),
-        F.aggregate("parts", start, mark)["spans"].alias("loss_spans"),
-    )
+    Turns with the same number are ordered by role and text; repeated rows are turns of their own; null roles and texts
+    are empty; a row without a key is a conversation of its own. One conversation becomes one row, so its turns must
+    fit in a task; the work grows with its turns. An empty frame gives an empty frame."""
+    refuse_clash([key], ["formatted", "loss_spans"])
+    turns = sorted_turns(df, key, turn, role, text)
+
+    def written(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda s: F.length(s["part"]).cast("long"))
+        placed = F.arrays_zip(parts.alias("part"), sizes.alias("length"), running_sums(sizes).alias("start"))
+        learned = F.filter(placed, lambda x: x["part"]["learned"])
+        spans = F.transform(learned, lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+        return F.struct(F.array_join(F.transform(parts, lambda s: s["part"]), "").alias("formatted"), spans.alias("loss_spans"))
+
+    done = turns.select(F.col("key").alias(key), held(held(merged(F.col("turns")), segments), written).alias("_done"))
+    return done.select(key, "_done.formatted", "_done.loss_spans")
 
 
 def literal(marker: str) -> str:
@@ -105,9 +144,30 @@ def read_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
+#: Code points of the pieces into which a text is cut, coarse and fine, to reach a place in it.
+COARSE, FINE = 1 << 18, 1 << 12
+
+
+def cut(x: Column, size: int) -> Column:
+    """x in pieces of so many code points, at least one."""
+    return F.transform(numbers(F.greatest(F.ceil(F.length(x) / size).cast("int"), F.lit(1))), lambda i: F.substr(x, i * size + 1, F.lit(size)))
+
+
 def read_loss(formatted: Column, spans: Column) -> Column:
-    """The texts under the loss mask, unescaped and joined."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+    """The texts under the loss mask, unescaped and joined. A place in a string is found by counting from its start, so
+    the text is cut into pieces first and each span read from those that hold it."""
+    pieces = F.flatten(F.transform(cut(formatted, COARSE), lambda c: cut(c, FINE)))
+
+    def all_read(pieces: Column) -> Column:
+        def read(s: Column) -> Column:
+            first = F.floor(s["start"] / FINE).cast("int")
+            many = F.floor((s["start"] + s["length"]) / FINE).cast("int") - first + 1
+            near = F.array_join(F.slice(pieces, first + 1, many), "")
+            return unescaped(F.substr(near, (s["start"] - first * FINE + 1).cast("int"), s["length"].cast("int")))
+
+        return F.array_join(F.transform(spans, read), "")
+
+    return held(pieces, all_read)
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

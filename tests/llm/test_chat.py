@@ -1,3 +1,4 @@
+import time
 import hashlib
 import random
 from collections import defaultdict
@@ -52,3 +53,21 @@ def test_round_trip_of_control_strings(spark):
 def test_no_python_runs(spark, sf):
     plan = C.op9_chat_format(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_long_conversation_takes_seconds_and_comes_back(spark):
+    n = 60000
+    rows = spark.range(n).selectExpr("1L conv_id", "id turn", "if(id % 3 = 0, 'user', 'assistant') role", "concat('é<|', id, repeat(' w\\\\', id % 9)) text")
+    begin = time.time()
+    done = C.format_chats(rows).withColumn("turns", C.read_turns(F.col("formatted"))).withColumn("loss", C.read_loss(F.col("formatted"), F.col("loss_spans")))
+    r = done.first()
+    assert time.time() - begin < 60
+    want = [x.text for x in rows.orderBy("turn").collect()]
+    assert [t.text for t in r.turns] == want
+    assert r.loss == "".join(t for i, t in enumerate(want) if i % 3)
+
+
+def test_rows_without_a_key_are_conversations_of_their_own(spark):
+    rows = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "user", "b"), (None, 1, "user", "b"), (3, None, None, None)], "conv_id long, turn long, role string, text string")
+    got = C.format_chats(rows.withColumn("key", F.lit(1)).withColumn("turns", F.lit(2))).collect()
+    assert sorted((r.conv_id is None, r.formatted.count(C.TURN)) for r in got) == [(False, 1), (True, 1), (True, 1), (True, 1)]
