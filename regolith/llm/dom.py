@@ -35,6 +35,12 @@ TOKEN = re.compile(
     r"|<([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
+#: The same without heed to quotes in tags.
+LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|(?!)()()|<([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: What can still begin where no > follows.
+LAST = re.compile(r"<!--.*?\Z|<!\[CDATA\[.*?\Z|(?!)()()()()()", re.S)
+#: Tags with an unclosed quote after which quotes no longer hide a > in the page: each of them is searched to its end.
+UNCLOSED = 64
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role|itemprop|aria-label|data-component)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
@@ -82,18 +88,23 @@ class Page:
     def __init__(self, source: str) -> None:
         self.parent, self.tag, self.attributes, self.parts = [-1], ["html"], [""], []
         self.own, self.linked, self.marks = [0], [0], [0]
-        stack = [("html", 0)]  # open elements, with their blocks
-        skip = links = at = 0
-        size = len(source)
+        self.stack = [("html", 0)]  # open elements, with their blocks
+        self.open: dict[str, int] = {}  # how many of each name are open
+        self.above: list[dict[str, int]] = [{}]  # of the inline ones, those since the last block was opened
+        self.head = self.skip = self.links = 0  # the open head's place; how many of SKIP and of <a> are open
+        stack = self.stack
+        at, loose = 0, 0
+        size, last = len(source), source.rfind(">")
         while at < size:
-            m = TOKEN.search(source, at)
+            m = (LAST if at > last else TOKEN if loose < UNCLOSED else LOOSE).search(source, at)
             end = m.start() if m else size
-            if end > at and not skip:
-                self.add(stack[-1][1], source[at:end], links)
+            if end > at and not self.skip:
+                self.add(stack[-1][1], source[at:end], self.links)
             if not m:
                 break
             at = m.end()
             close, name = m[1], m[2] or m[4]
+            loose += m[4] is not None
             if name:
                 name = name.lower()
                 attributes = m[3] or m[5] or ""
@@ -108,50 +119,71 @@ class Page:
                     continue
                 if attributes.endswith("/") and name in ("svg", "path", "iframe"):
                     continue
-                inline = name in INLINE
-                if not inline:
-                    if self.imply(stack, name):
-                        links, skip = sum(x == "a" for x, _ in stack), sum(x in SKIP for x, _ in stack)
+                if name in INLINE:
+                    self.push(name, stack[-1][1])
+                else:
+                    self.imply(name)
                     self.parent.append(stack[-1][1])
                     self.tag.append(name)
                     self.attributes.append(attributes)
                     for x in (self.own, self.linked, self.marks):
                         x.append(0)
-                    stack.append((name, len(self.tag) - 1))
+                    self.push(name, len(self.tag) - 1)
                     self.parts.append((stack[-1][1], " "))
-                else:
-                    stack.append((name, stack[-1][1]))
-                    links += name == "a"
-                skip += name in SKIP
             elif close:
                 close = close.lower()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == close:
-                        skip -= sum(x in SKIP for x, _ in stack[i:])
-                        links -= sum(x == "a" for x, _ in stack[i:])
-                        if close not in INLINE:
-                            self.parts.append((stack[i][1], " "))
-                        del stack[i:]
-                        break
-                    if close in INLINE and stack[i][0] not in INLINE:
-                        break
-
-    def imply(self, stack: list, name: str) -> bool:
+                # an inline element ends within its block alone
+                if self.above[-1].get(close) if close in INLINE else self.open.get(close):
+                    i = len(stack) - 1
+                    while stack[i][0] != close:
+                        i -= 1
+                    if close not in INLINE:
+                        self.parts.append((stack[i][1], " "))
+                    self.pop(i)
+
+    def push(self, name: str, block: int) -> None:
+        if name == "head" and not self.head:
+            self.head = len(self.stack)
+        self.stack.append((name, block))
+        self.open[name] = self.open.get(name, 0) + 1
+        if name in INLINE:
+            self.above[-1][name] = self.above[-1].get(name, 0) + 1
+        else:
+            self.above.append({})
+        self.skip += name in SKIP
+        self.links += name == "a"
+
+    def pop(self, first: int) -> None:
+        """Closes the open elements from the place `first` on."""
+        while len(self.stack) > first:
+            name, _ = self.stack.pop()
+            self.open[name] -= 1
+            if name in INLINE:
+                self.above[-1][name] -= 1
+            else:
+                self.above.pop()
+            self.skip -= name in SKIP
+            self.links -= name == "a"
+        if self.head >= first:
+            self.head = 0
+
+    def imply(self, name: str) -> None:
         """Closes what the opening of a block ends: the head, an open paragraph, and items, cells and rows of its
-        kind. True if anything was closed."""
-        size = len(stack)
-        if name not in IN_HEAD and (head := next((i for i, (x, _) in enumerate(stack) if x == "head"), 0)):
-            del stack[head:]
+        kind."""
+        stack = self.stack
+        if self.head and name not in IN_HEAD:
+            self.pop(self.head)
         closed, bounds = CLOSES.get(name, ({"p"}, {"table", "td", "th", "button", "object"}))
+        if not self.open.get("p") and not any(self.open.get(x) for x in closed):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in bounds:
                 break
             if stack[i][0] in closed or stack[i][0] == "p":
-                del stack[i:]
+                self.pop(i)
                 break
             if name not in CLOSES and stack[i][0] not in INLINE:
                 break
-        return len(stack) < size
 
     def add(self, block: int, text: str, links: int) -> None:
         if "&" in text:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regolith.llm.common import stored, table
+from regolith.llm.common import discard, refuse_clash, stored, table
 
 #: Bits per dimension: 2**5 cells each, at quantiles.
 BITS = 5
@@ -68,8 +68,10 @@ def hilbert_index(cells: list[Column], bits: int = BITS) -> Column:
 
 
 def ordinal(df: DataFrame, name: str) -> Column:
-    """A long that orders a column's values: numbers as they are, others by their first seven bytes; null first."""
+    """A number that orders a column's values: numbers as they are, others by their first seven bytes; null first."""
     kind = df.schema[name].dataType
+    if isinstance(kind, (T.FractionalType, T.DecimalType)):
+        return F.coalesce(F.col(name).cast("double"), F.lit(float("-inf")))
     if isinstance(kind, (T.NumericType, T.BooleanType)):
         whole = F.col(name).cast("long")
     elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
@@ -77,7 +79,11 @@ def ordinal(df: DataFrame, name: str) -> Column:
     else:
         head = F.rpad(F.substring(F.col(name).cast("string").cast("binary"), 1, 7), 7, F.lit(b"\x00"))
         whole = F.conv(F.hex(head), 16, 10).cast("long")
-    return F.coalesce(whole, F.lit(-1).cast("long"))
+    return F.coalesce(whole, F.lit(-(2**63)))
+
+
+#: What hilbert_shards adds.
+MADE = ["hilbert", "rank", "shard", "slot"]
 
 
 def hilbert_shards(
@@ -86,33 +92,38 @@ def hilbert_shards(
     """Puts every row of df into one of `shards` shards, whose row counts differ by one at most.
 
     Adds hilbert, rank, shard and slot (from 0, without gaps within a shard) to the columns `dims`, `tie` and
-    `carry`. Rows of one cell are ordered by `tie`; equal rows are spread like others, so that no cell, however
-    many rows it holds, makes a large task: the range partitioning is on the cell and the tie together.
-    Nulls sort first in their dimension. An empty frame gives an empty frame.
+    `carry`, which must not have these names. Rows of one cell are ordered by `tie`, and rows equal in that by where
+    they were read, so that neither a cell nor a row that repeats, however many rows it holds, makes a large task: the
+    range partitioning is on all of these. Nulls sort first in their dimension. An empty frame gives an empty frame.
 
     Two passes: the quantiles (a sketch of bounded size per dimension), then a range-partitioned sort. Positions
     within partitions are written down once (a written table), and only one row for each partition is summed up
     to turn them into ranks.
     """
     keep = list(dict.fromkeys([*dims, *tie, *(carry or [])]))
-    base = df.select(*keep)
+    refuse_clash(keep, MADE)
+    inner = {c: f"_in{i}" for i, c in enumerate(keep)}  # no inner name can clash
+    base = df.select(*(F.col(c).alias(n) for c, n in inner.items()))
     points = [i / (1 << bits) for i in range(1, 1 << bits)]
     if carry:  # wide rows: read the dimensions alone for the quantiles
         source = base
     else:
         source = base = stored(base, "shard-keys")
-    cuts = source.agg(*(F.percentile_approx(ordinal(base, d), points, 10000).alias(f"c{i}") for i, d in enumerate(dims))).first()
+    axes = [inner[d] for d in dims]
+    cuts = source.agg(*(F.percentile_approx(ordinal(base, d), points, 10000).alias(f"c{i}") for i, d in enumerate(axes))).first()
     cells = []
-    for i, d in enumerate(dims):
-        bounds = sorted(cuts[f"c{i}"] or [])
+    for i, d in enumerate(axes):
+        bounds = sorted(set(cuts[f"c{i}"] or []))
         at = ordinal(base, d)
         cells.append(sum((F.when(at >= b, 1).otherwise(0) for b in bounds), F.lit(0)) if bounds else F.lit(0))
     keyed = base.select("*", *(c.cast("int").alias(f"_cell{i}") for i, c in enumerate(cells)))
-    keyed = keyed.select(*keep, hilbert_index([F.col(f"_cell{i}") for i in range(len(dims))], bits).alias("hilbert"))
-    order = ["hilbert", *tie]
+    keyed = keyed.select(*inner.values(), hilbert_index([F.col(f"_cell{i}") for i in range(len(dims))], bits).alias("hilbert"), F.monotonically_increasing_id().alias("_read"))
+    order = ["hilbert", *(inner[c] for c in tie), "_read"]
     placed = stored(
-        keyed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "shard-order"
+        keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("_read").withColumn("_at", F.monotonically_increasing_id()), "shard-order"
     )
+    if not carry:
+        discard(df.sparkSession, base)
     part = F.shiftright("_at", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     # one row for each partition of the sort
@@ -128,7 +139,7 @@ def hilbert_shards(
     return (
         ranked.withColumn("shard", shard.cast("int"))
         .withColumn("slot", (F.col("rank") - first).cast("long"))
-        .select(*keep, "hilbert", "rank", "shard", "slot")
+        .select(*(F.col(n).alias(c) for c, n in inner.items()), *MADE)
     )
 
 

@@ -1,6 +1,6 @@
-import time
 import hashlib
 import random
+import time
 from collections import defaultdict
 
 from pyspark.sql import functions as F

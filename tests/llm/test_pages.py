@@ -1,5 +1,6 @@
 import html as entities
 import re
+import time
 
 import numpy as np
 import pytest
@@ -88,3 +89,10 @@ def test_odd_rows(spark):
     rows = H.extract(df, ["page_id", "url"], "html")
     assert rows.count() == 5
     assert H.extract(df.where(F.lit(False)), ["page_id"], "html").count() == 0
+
+
+@pytest.mark.parametrize("page", ["<a x " * 200_000, "<div>" * 200_000, "<div>" * 100_000 + "</section>" * 100_000, "<div>" * 3000 + "<p>x" * 100_000, "<b><div>" + "<i>" * 100_000 + "</b>" * 100_000, "<a '>\"" * 200_000])
+def test_long_pages_take_seconds(page):
+    begin = time.process_time()
+    dom.Page(page).features()
+    assert time.process_time() - begin < 15

@@ -1,6 +1,7 @@
 import itertools
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from regolith.llm import sharding as S
@@ -65,3 +66,21 @@ def test_files_and_pruning(spark, sample, tmp_path):
     hit = {r.shard for r in S.candidates(m, n_chars=(0, 400), lang=("de", "de")).collect()}
     holds = {r.shard for r in back.where("n_chars <= 400 and lang = 'de'").select("shard").distinct().collect()}
     assert holds <= hit and len(hit) < 8
+
+
+def test_fractions_and_negative_numbers_have_cells_and_names_may_clash(spark, tmp_path):
+    df = spark.range(400).selectExpr("id", "id / 400.0D x", "cast(id as int) - 200 y", "id * 10 _at", "id _cell0", "7 _part")
+    done = S.hilbert_shards(df, ["x", "y"], ["id"], 8, carry=df.columns)
+    shards = {r.shard: r for r in S.manifest(done, ["x", "y"]).collect()}
+    assert len(shards) == 8 and all(r.x_max - r.x_min < 0.2 for r in shards.values())
+    assert done.where("_at = id * 10 and _cell0 = id and _part = 7 and y = id - 200").count() == 400
+    assert len(S.candidates(S.manifest(done, ["x"]), x=(0.5, 0.51)).collect()) <= 2
+    for name in S.MADE:
+        with pytest.raises(ValueError):
+            S.hilbert_shards(df.withColumnRenamed("_part", name), ["x"], ["id"], 8, carry=["id", name])
+
+
+def test_equal_rows_are_spread(spark):
+    df = spark.range(0, 4000, 1, 8).selectExpr("1 a", "'same' b")
+    got = S.hilbert_shards(df, ["a"], ["b"], 40).groupBy("shard").count().collect()
+    assert {r["count"] for r in got} == {100} and len(got) == 40
