@@ -58,14 +58,38 @@ def http_status(code: Column) -> Column:
     return F.substring(code.cast("string"), 1, 3).cast("int")
 
 
-#: Path segments that are part of a route; all others are values.
-ROUTE_WORDS = ("subjects", "schemas", "ids", "versions", "config", "mode", "compatibility", "contexts", "exporters", "types", "latest", "schema", "referencedby", "status", "metrics")
+#: The first segments that are served, those after which a name stands, and the methods.
+ROUTE_ROOTS = ("", "subjects", "schemas", "contexts", "config", "mode", "compatibility", "exporters", "metrics", "admin", "_admin", "v1")
+BEFORE_NAMES = ("subjects", "config", "mode", "contexts", "exporters", "ids")
+METHODS = ("GET", "POST", "PUT", "DELETE", "HEAD", "OPTIONS")
+#: A longer label is another client's invention.
+ROUTE_BYTES = 64
+
+
+def segments(path: Column) -> Column:
+    """A path's segments without the slashes at its ends."""
+    return F.split(F.regexp_replace(path, "^/+|/+$", ""), "/", -1)
 
 
 def route_shape(path: Column) -> Column:
-    """A path with its values replaced, so that there are few shapes."""
-    parts = F.transform(F.split(path, "/"), lambda p: F.when((p == "") | p.isin(*ROUTE_WORDS), p).otherwise(F.lit("{}")))
-    return F.array_join(parts, "/")
+    """A path with its names and versions replaced by `*`, by their position; `/other` for what isn't served, so that
+    clients cannot mint labels. Null for null."""
+    segs = segments(path)
+
+    def shown(x: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(segs, i - 1))
+        number = x.rlike("^[+]?[0-9]+$") & (F.coalesce(x.try_cast("long"), F.lit(2**32)) < 2**32)
+        named = before.isin(*BEFORE_NAMES) | ((before == "versions") & (number | (x == "latest")))
+        return F.when(F.coalesce(named, F.lit(False)), F.lit("*")).otherwise(x)
+
+    shape = F.concat(F.lit("/"), F.array_join(F.transform(segs, shown), "/"))
+    served = F.get(segs, F.lit(0)).isin(*ROUTE_ROOTS) & (F.octet_length(shape) <= ROUTE_BYTES) & ~shape.contains('"') & ~shape.contains("\\")
+    return F.when(path.isNotNull(), F.when(served, shape).otherwise(F.lit("/other")))
+
+
+def method_label(method: Column) -> Column:
+    """The method, or `other` for one that isn't served."""
+    return F.when(method.isin(*METHODS), method).otherwise(F.lit("other"))
 
 
 def percent_decoded(text: Column) -> Column:
@@ -85,5 +109,15 @@ def glob_to_regex(pattern: Column) -> Column:
     return F.concat(F.lit("(?s)^"), inner, F.lit("$"))
 
 
+def star_match(text: Column, pattern: Column) -> Column:
+    """Whether a pattern in which only `*` stands for anything matches the whole text. Its parts are found one after
+    the other, each at its first place, and the last one must end the text."""
+    plain = lambda x: F.regexp_replace(x, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
+    parts = F.split(pattern, "[*]", -1)
+    later = F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda x: x != "")
+    found = F.array_join(F.transform(later, lambda x: F.concat(F.lit("(?>.*?"), plain(x), F.lit(")"))), "")
+    return F.rlike(text, F.concat(F.lit("(?s)^"), plain(F.get(parts, F.lit(0))), found, F.when(pattern.endswith("*"), F.lit(".*")).otherwise(F.lit("")), F.lit("\\z")))
+
+
 def glob_match(text: Column, pattern: Column) -> Column:
     return F.rlike(text, glob_to_regex(pattern))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from regolith.functions.names import http_status, route_shape
+from regolith.functions.names import http_status, method_label, route_shape
 from regolith.scratch import stored
 
 #: Upper edges of the histogram, in the unit of the measure.
@@ -13,7 +13,7 @@ EDGES = (1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0)
 
 
 def request_counts(http: DataFrame) -> DataFrame:
-    return http.groupBy("method", route_shape(F.col("path")).alias("route"), http_status(F.col("code")).alias("status")).agg(F.count("*").alias("requests"))
+    return http.groupBy(method_label(F.col("method")).alias("method"), route_shape(F.col("path")).alias("route"), http_status(F.col("code")).alias("status")).agg(F.count("*").alias("requests"))
 
 
 def histogram(http: DataFrame, measure: str = "millis", edges: tuple[float, ...] = EDGES) -> DataFrame:

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A chain of references is followed no further.
-DEPTH = 64
-
+from regolith.scratch import stored
 
 def used_fingerprints(schemas: DataFrame, versions: DataFrame) -> DataFrame:
     """(ctx, fingerprint) to id, only for ids that a version uses: reclaimed content is not found again."""
@@ -38,23 +36,24 @@ def orphans(schemas: DataFrame, versions: DataFrame) -> DataFrame:
     return schemas.select("ctx", "id").join(versions.select("ctx", "id").distinct(), ["ctx", "id"], "left_anti")
 
 
-def closure(edges: DataFrame, roots: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """root, subject and depth (the longest path) of everything that the roots (subject) refer to, directly or not.
-
-    A round joins what was newly reached with the edges; it ends when nothing new is reached. Graphs without cycles
-    of at most `depth` levels are followed to the end."""
-    at = roots.select(F.col("subject").alias("root"), "subject", F.lit(0).alias("depth"))
-    steps = edges.select("subject", "target").distinct()
-    found = None
-    for level in range(1, depth + 1):
-        at = at.select("root", "subject").distinct().join(steps, "subject").select("root", F.col("target").alias("subject"), F.lit(level).alias("depth")).distinct()
-        at = at.persist()
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """root, subject and depth (the shortest path) of everything that the roots (subject) refer to, directly or not.
+
+    A round joins what was newly reached with the edges and leaves out what was reached before, so each subject is
+    visited once for a root, cycles end, and the last round finds nothing. Rounds are written down, as many as the
+    longest shortest path has steps. A root that is reached from itself is in its own closure."""
+    steps = stored(edges.select("subject", "target").distinct(), "closure-edges")
+    at = roots.select(F.col("subject").alias("root"), "subject").distinct()
+    found, level = None, 0
+    while True:
+        level += 1
+        new = at.select("root", "subject").join(steps, "subject").select("root", F.col("target").alias("subject")).distinct()
+        if found is not None:
+            new = new.join(found.select("root", "subject"), ["root", "subject"], "left_anti")
+        at = stored(new.withColumn("depth", F.lit(level)), "closure-round")
         if at.isEmpty():
-            break
+            return at if found is None else found
         found = at if found is None else found.unionAll(at)
-    if found is None:
-        return at
-    return found.groupBy("root", "subject").agg(F.max("depth").alias("depth"))
 
 
 def resolve_references(wanted: DataFrame, versions: DataFrame) -> DataFrame:

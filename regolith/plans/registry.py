@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regolith.functions import avro, json_text, names
-from regolith.operators import access, compatibility, listings, metrics, references, registration, replay, replication, resolution
+from regolith.operators import access, compatibility, listings, metrics, references, registration, replication, resolution
 from regolith.sources.derived import Registry, registry, with_relations
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,7 +16,10 @@ ORACLES: dict[str, str] = {}
 
 QUALIFIED = "CASE WHEN ctx = '.' THEN subject ELSE ':' || ctx || ':' || subject END"
 #: The shape of a path, in DuckDB.
-ROUTE = "list_aggregate(list_transform(string_split(path, '/'), lambda p: CASE WHEN p = '' OR p IN ({}) THEN p ELSE '{{}}' END), 'string_agg', '/')".format(", ".join(f"'{w}'" for w in names.ROUTE_WORDS))
+ROUTE_OF = """CASE WHEN split_part(trim({0}, '/'), '/', 1) NOT IN ('', 'subjects', 'schemas', 'contexts', 'config', 'mode', 'compatibility', 'exporters', 'metrics', 'admin', '_admin', 'v1')
+    OR strlen({1}) > 64 OR contains({1}, '"') OR contains({1}, chr(92)) THEN '/other' ELSE {1} END"""
+SHAPE = """('/' || regexp_replace(regexp_replace(regexp_replace(trim(path, '/'), '(^|/)(subjects|config|mode|contexts|exporters|ids)/[^/]*', '\\1\\2/*', 'g'), '(^|/)versions/(\\+?[0-9]{1,9}|latest)(/|$)', '\\1versions/*\\3', 'g'), '^$', ''))"""
+ROUTE = ROUTE_OF.format("path", SHAPE)
 
 
 def query(sql: str | None) -> Callable:
@@ -190,7 +193,7 @@ HINTS = [None, "", "click-value", ":.eu:", ":.us:view-value", ":.:error-value",
 
 
 @query(f"""
-    WITH a AS (SELECT i.id, h.hint, coalesce(h.hint, '') AS t FROM (SELECT DISTINCT id FROM versions WHERE id % 7 = 1) i, (VALUES {values([(h,) for h in HINTS])}) h(hint)),
+    WITH a AS (SELECT i.id, h.hint, coalesce(h.hint, '') AS t FROM (SELECT DISTINCT id FROM versions) i, (VALUES {values([(h,) for h in HINTS])}) h(hint)),
          b AS (SELECT *, CASE WHEN starts_with(t, ':.') THEN regexp_extract(t, '^:(\\.[^:]*)', 1) ELSE '.' END AS hc,
                       CASE WHEN starts_with(t, ':.') THEN regexp_extract(t, '^:\\.[^:]*:(.*)$', 1) ELSE t END AS hs FROM a),
          c AS (SELECT b.id, b.hint, u.ctx, row_number() OVER (PARTITION BY b.id, b.hint ORDER BY u.subject <> hs, u.ctx <> '.', u.ctx) AS rn
@@ -198,7 +201,7 @@ HINTS = [None, "", "click-value", ":.eu:", ":.us:view-value", ":.:error-value",
                WHERE CASE WHEN hc <> '.' THEN u.ctx = hc AND (hs = '' OR u.subject = hs) ELSE u.subject = hs OR u.ctx = '.' END)
     SELECT id, hint, ctx FROM c WHERE rn = 1""")
 def locate_ids(r: Registry) -> DataFrame:
-    asked = r.versions.where("id % 7 = 1").select("id").distinct().select("id", F.explode(F.array(*(F.lit(h) for h in HINTS))).alias("hint"))
+    asked = r.versions.select("id").distinct().select("id", F.explode(F.array(*(F.lit(h) for h in HINTS))).alias("hint"))
     return resolution.locate_ids(asked, r.versions)
 
 
@@ -251,9 +254,9 @@ def orphan_ids(r: Registry) -> DataFrame:
 
 
 @query("""
-    , walk AS (SELECT subject AS root, target AS subject, 1 AS depth FROM edges WHERE starts_with(subject, 'order-')
-               UNION ALL SELECT w.root, e.target, w.depth + 1 FROM walk w JOIN edges e ON e.subject = w.subject)
-    SELECT root, subject, max(depth) AS depth FROM walk GROUP BY root, subject""")
+    , walk AS (SELECT DISTINCT subject AS root, target AS subject, 1 AS depth FROM edges WHERE starts_with(subject, 'order-')
+               UNION SELECT w.root, e.target, w.depth + 1 FROM walk w JOIN edges e ON e.subject = w.subject WHERE w.depth < 10)
+    SELECT root, subject, min(depth) AS depth FROM walk GROUP BY root, subject""")
 def reference_closure(r: Registry) -> DataFrame:
     return references.closure(r.edges, r.edges.where("subject like 'order-%'").select("subject").distinct())
 
@@ -347,14 +350,60 @@ def subject_roles(r: Registry) -> DataFrame:
     return access.roles(r.subjects, frame(r, BINDINGS, "principal string, role string, pattern string"))
 
 
-@query("""
-    WITH t AS (SELECT path, method, CASE event_id % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'read' WHEN 2 THEN 'read,write' END AS roles, CASE WHEN starts_with(path, '/subjects/') OR starts_with(path, '/config/') THEN 'subject' WHEN starts_with(path, '/schemas') THEN 'listing' ELSE 'global' END AS target FROM http)
-    SELECT target, method, roles, CASE WHEN roles = 'admin' THEN true WHEN method = 'GET' THEN roles IS NOT NULL ELSE coalesce(roles = 'read,write' AND target = 'subject', false) END AS allowed, count(*) AS n FROM t GROUP BY ALL""")
+USERS = [("ann", "admin"), ("bob", ""), ("cid", ""), ("dan", "read"), ("eve", "write"), ("fay", ""), ("gus", "")]
+SCOPES = [("bob", "write", ".eu::orders-*"), ("bob", "read", "*"), ("cid", "write", "eu::*"), ("fay", "admin", "*::pay*"), ("gus", "read", "a?b"), ("gus", "write", ".us::[x]*"), ("gus", "read", ".bad::")]
+#: Paths with what they are about, written by hand: the kind, and the name whose roles count, as context and subject.
+PATHS = [
+    ("/subjects", "listing", None, None), ("/contexts/", "listing", None, None), ("/schemas/ids/3/versions", "listing", None, None), ("/schemas/ids/3", "global", None, None),
+    ("/admin", "listing", None, None), ("/_admin/x", "listing", None, None), ("/admin/api/backup", "listing", None, None), ("/admin/api/subjects/pay-a", "subject", ".", "pay-a"),
+    ("/metrics", "global", None, None), ("/config", "global", None, None), ("/exporters", "global", None, None), ("/exporters/e", "global", None, None), ("/exporters/e/config", "global", None, None), ("/exporters/e/status", "global", None, None),
+    ("/subjects/:.eu:orders-a", "subject", ".eu", "orders-a"), ("/subjects/%3A.eu%3Aorders-a/versions", "subject", ".eu", "orders-a"), ("/subjects/:.eu:/versions", "subject", ".eu", ""), ("/subjects/pay+day", "subject", ".", "pay day"),
+    ("/compatibility/subjects/:.eu:orders-a/versions/latest", "subject", ".eu", "orders-a"), ("/compatibility/subjects/axb/versions", "subject", ".", "axb"), ("/config/a%3Fb", "subject", ".", "a?b"), ("/mode/axb", "subject", ".", "axb"),
+    ("/config/:.eu:", "context", ".eu", None), ("/config/%3A.eu%3A", "context", ".eu", None), ("/mode/:.us:", "context", ".us", None), ("/contexts/eu", "context", ".eu", None), ("/contexts/.us", "context", ".us", None), ("/mode/:.us:[x]1", "subject", ".us", "[x]1"), ("/config/:.us:x1", "subject", ".us", "x1"),
+]
+VERBS = ("GET", "POST", "PUT", "DELETE")
+#: A binding's pattern as LIKE patterns of context and subject.
+LIKES = """SELECT principal, role, replace(CASE WHEN NOT contains(pattern, '::') OR split_part(pattern, '::', 1) IN ('', '.') THEN '.' WHEN split_part(pattern, '::', 1)[1] IN ('.', '*') THEN split_part(pattern, '::', 1)
+        ELSE '.' || split_part(pattern, '::', 1) END, '*', '%') AS c, replace(CASE WHEN contains(pattern, '::') THEN split_part(pattern, '::', 2) ELSE pattern END, '*', '%') AS p FROM (VALUES {}) x(principal, role, pattern) WHERE NOT ends_with(pattern, '::')"""
+
+
+@query(f"""
+    WITH u AS (SELECT * FROM (VALUES {values(USERS)}) x(principal, role)), b AS ({LIKES.format(values(SCOPES))}),
+         q AS (SELECT u.principal, m.method, p.* FROM u, (VALUES {values([(v,) for v in VERBS])}) m(method), (VALUES {values(PATHS)}) p(path, kind, ctx, subject)),
+         r AS (SELECT q.*, string_split(trim(path, '/'), '/') AS s,
+                      coalesce(list(DISTINCT b.role) FILTER (b.role IS NOT NULL), []) || coalesce(list(DISTINCT u.role) FILTER (u.role <> ''), []) AS roles
+               FROM q JOIN u ON u.principal = q.principal LEFT JOIN b ON b.principal = q.principal AND q.ctx LIKE b.c AND (q.kind = 'subject' AND q.subject LIKE b.p OR q.kind = 'context' AND b.p = '%')
+               GROUP BY ALL)
+    SELECT principal, method, path, kind, CASE
+        WHEN kind = 'listing' AND (starts_with(path, '/admin') OR starts_with(path, '/_admin')) THEN principal IN ('ann', 'fay')
+        WHEN kind = 'listing' THEN true
+        WHEN starts_with(path, '/admin') OR path = '/metrics' THEN coalesce(list_contains(roles, 'admin'), false)
+        WHEN list_contains(roles, 'admin') THEN true
+        WHEN s[1] = 'exporters' AND (len(s) = 2 OR s[3] = 'config') THEN false
+        WHEN method = 'GET' OR method = 'POST' AND (s[1] = 'subjects' AND len(s) = 2 OR s[1] = 'compatibility') THEN coalesce(len(roles) > 0, false)
+        ELSE coalesce(list_contains(roles, 'write'), false) AND kind = 'subject' END AS allowed FROM r""")
 def access_decisions(r: Registry) -> DataFrame:
-    n = F.col("event_id") % 4
-    roles = F.when(n == 0, "admin").when(n == 1, "read").when(n == 2, "read,write")
-    rows = r.http.select("method", roles.alias("roles"), access.request_target(F.col("path")).alias("target"))
-    return rows.withColumn("allowed", access.decision(F.col("target"), F.col("method"), F.col("roles"))).groupBy("target", "method", "roles", "allowed").agg(F.count("*").alias("n"))
+    users = frame(r, USERS, "principal string, role string").selectExpr("principal", "if(role = '', cast(array() as array<string>), array(role)) roles")
+    asked = users.select("principal", F.explode(F.array(*map(F.lit, VERBS))).alias("method")).select("*", F.explode(F.array(*(F.lit(p[0]) for p in PATHS))).alias("path"))
+    return access.authorized(asked, users, frame(r, SCOPES, "principal string, role string, pattern string"))
+
+
+@query(f"""
+    WITH u AS (SELECT * FROM (VALUES {values(USERS)}) x(principal, role)), b AS ({LIKES.format(values(BINDINGS))})
+    SELECT u.principal, s.ctx, s.subject FROM subjects s, u WHERE u.role <> '' OR u.principal NOT IN (SELECT principal FROM b)
+        OR EXISTS (SELECT 1 FROM b WHERE b.principal = u.principal AND s.ctx LIKE b.c AND s.subject LIKE b.p)""")
+def visible_subjects(r: Registry) -> DataFrame:
+    users = frame(r, USERS, "principal string, role string").selectExpr("principal", "if(role = '', cast(array() as array<string>), array(role)) roles")
+    return access.visible_subjects(r.subjects, users, frame(r, BINDINGS, "principal string, role string, pattern string"))
+
+
+@query(f"""
+    WITH u AS (SELECT * FROM (VALUES {values(USERS)}) x(principal, role)), b AS ({LIKES.format(values(BINDINGS))}), c AS (SELECT DISTINCT ctx FROM subjects)
+    SELECT u.principal, c.ctx FROM c, u WHERE u.role <> '' OR u.principal NOT IN (SELECT principal FROM b)
+        OR EXISTS (SELECT 1 FROM b WHERE b.principal = u.principal AND c.ctx LIKE b.c)""")
+def visible_contexts(r: Registry) -> DataFrame:
+    users = frame(r, USERS, "principal string, role string").selectExpr("principal", "if(role = '', cast(array() as array<string>), array(role)) roles")
+    return access.visible_contexts(r.subjects.select("ctx").distinct(), users, frame(r, BINDINGS, "principal string, role string, pattern string"))
 
 
 HOSTS = [(1, "a.example.com", "one"), (2, "*.example.com", "two"), (3, "[xy].org", "three")]
@@ -417,32 +466,6 @@ def avro_canonical(r: Registry) -> DataFrame:
     return avro.with_canonical(r.versions.select(F.expr(AVRO).alias("text")).distinct(), "text").select("text", "canonical", "error")
 
 
-def commands(r: Registry) -> DataFrame:
-    """The requests as commands in which every ninth deletes a version or a subject."""
-    verb = F.when(F.col("seq") % 9 == 4, "delete_version").when(F.col("seq") % 90 == 8, "delete_subject").otherwise("register")
-    none = F.lit(None)
-    return r.requests.select(
-        "seq", "ctx", "subject", verb.alias("verb"), "content", F.when(F.col("seq") % 9 == 4, F.col("seq") % 5).cast("int").alias("version"), none.cast("int").alias("id"), (F.col("seq") % 2 == 0).alias("permanent"), none.cast("string").alias("value")
-    )
-
-
-@query("SELECT ctx, subject, version, id FROM versions")
-def replayed_registrations(r: Registry) -> DataFrame:
-    """The fold over registrations alone leaves what the set form does."""
-    done = replay.replay(commands(r).withColumn("verb", F.lit("register")).withColumn("version", F.lit(None).cast("int")))
-    return replay.state_of(done).select("ctx", "subject", "version", "id")
-
-
-@query(None)
-def replayed_commands(r: Registry) -> DataFrame:
-    return replay.replay(commands(r))
-
-
-@query(None)
-def replayed_state(r: Registry) -> DataFrame:
-    return replay.state_of(replay.replay(commands(r)))
-
-
 @query("SELECT DISTINCT content, replace(content, ' ', '') AS canonical, replace(content, ' ', '') AS normalized FROM requests")
 def json_canonical(r: Registry) -> DataFrame:
     return json_text.with_canonical(r.requests.select("content").distinct(), "content")

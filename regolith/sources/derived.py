@@ -54,16 +54,17 @@ RELATIONS = {
                CASE n_nationkey % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'error' WHEN 3 THEN 'signup' ELSE 'purchase' END || '-value',
                CASE n_regionkey WHEN 0 THEN 'NONE' WHEN 1 THEN 'FORWARD' WHEN 2 THEN 'FULL_TRANSITIVE' ELSE NULL END, NULL,
                CASE n_nationkey % 4 WHEN 0 THEN 'IMPORT' WHEN 1 THEN 'READONLY' ELSE NULL END
-        FROM nation WHERE n_nationkey < 9
+        FROM nation
         UNION ALL
         SELECT 'subject', CASE s_suppkey % 3 WHEN 0 THEN '.' WHEN 1 THEN '.eu' ELSE '.us' END, s_name, NULL,
                CASE s_suppkey % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'gone' ELSE 'error' END || '-value', NULL
-        FROM supplier WHERE s_suppkey < 12""",
-    # subject -> referenced subject, a directed acyclic graph
+        FROM supplier""",
+    # subject -> referenced subject, with a cycle between the regions
     "edges": """
-        SELECT 'order-' || o_orderkey AS subject, 'customer-' || o_custkey AS target FROM orders WHERE o_orderkey % 10 = 0
+        SELECT 'order-' || o_orderkey AS subject, 'customer-' || o_custkey AS target FROM orders
         UNION ALL SELECT 'customer-' || c_custkey, 'nation-' || c_nationkey FROM customer
-        UNION ALL SELECT 'nation-' || n_nationkey, 'region-' || n_regionkey FROM nation""",
+        UNION ALL SELECT 'nation-' || n_nationkey, 'region-' || n_regionkey FROM nation
+        UNION ALL SELECT 'region-' || r_regionkey, 'region-' || ((r_regionkey + 1) % 5) FROM region""",
     # the change log: registrations, then soft deletes
     "log": """
         SELECT seq * 2 AS seq, ctx, subject, version, id, 'REGISTER' AS kind FROM versions

@@ -43,7 +43,29 @@ def test_limits(spark, limit, effective):
 
 
 def test_paths(spark):
-    assert one(spark, "/subjects/foo/versions/3", N.route_shape) == "/subjects/{}/versions/{}"
     assert one(spark, "a:b c/é", N.percent_encoded) == "a:b%20c%2F%C3%A9"
     assert one(spark, "a%3Ab+c", N.percent_decoded) == "a:b c"
     assert one(spark, 40401, N.http_status, "int") == 404
+
+
+@pytest.mark.parametrize(
+    ("path", "shape"),
+    [
+        ("/subjects/foo/versions/3", "/subjects/*/versions/*"), ("/subjects/latest/versions/latest", "/subjects/*/versions/*"), ("/subjects/foo/versions/x", "/subjects/foo/versions/x".replace("foo", "*")),
+        ("/wp-admin/x.php", "/other"), ("/", "/"), ("", "/"), ("/schemas/ids/17/", "/schemas/ids/*"), ("/mode/:.a:b", "/mode/*"), ("/schemas/" + "y" * 60, "/other"), ('/schemas/"', "/other"), ("/schemas/types", "/schemas/types"), (None, None),
+    ],
+)
+def test_route_shapes(spark, path, shape):
+    assert one(spark, path, N.route_shape) == shape
+
+
+def test_method_labels(spark):
+    assert one(spark, "PUT", N.method_label) == "PUT" and one(spark, "WHATEVER", N.method_label) == "other"
+
+
+@pytest.mark.parametrize(
+    ("text", "pattern", "hit"),
+    [("axb", "a?b", False), ("a?b", "a?b", True), ("[x]1", "[x]*", True), ("x1", "[x]*", False), ("abab", "a*b", False), ("ab", "a*b", True), ("anything", "*", True), ("", "*", True), ("a.b", "a.b", True), ("acb", "a.b", False), ("xerrory", "*error*", True), ("ab", "a", False), ("a\nb", "a*b", True), ("ab\n", "ab", False)],
+)
+def test_only_stars_are_special_in_authorization(spark, text, pattern, hit):
+    assert spark.range(1).select(N.star_match(F.lit(text), F.lit(pattern)).alias("y")).first().y == hit
