@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from regolith.llm import langid, neardup, packing, quality
 from regolith.llm.common import stored, table
+from regolith.scratch import cleared, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +36,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each stage's rows are written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """Applies the stages to documents; each stage's rows are written as Parquet and read again by the next. What a stage
+    has written besides, and the rows of the stage before it, are deleted then."""
+    docs, mark = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        cleared(spark, mark, docs)
     return docs
