@@ -5,27 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from regolith.llm import langid, neardup, packing, quality
-from regolith.llm.common import stored, table
+from regolith.llm.common import small_batches, stored, table
 from regolith.scratch import cleared, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules and the perplexity bands keep."""
+    small_batches(spark)
     return quality.kept_documents(docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is determined, by a model of the documents that reach this stage."""
+    small_batches(spark)
     return langid.known_documents(docs)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
+    small_batches(spark)
     return neardup.distinct_documents(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences."""
+    small_batches(spark)
     return packing.packed_documents(docs)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from regolith.scratch import shared_dir, stored
 
-__all__ = ["discard", "mixed", "refuse_clash", "released", "shared_dir", "stored", "table", "tidied"]
+__all__ = ["discard", "mixed", "refuse_clash", "released", "shared_dir", "small_batches", "stored", "table", "tidied"]
 
 
 def discard(spark: SparkSession, *tables: DataFrame) -> None:
@@ -38,6 +38,18 @@ def released() -> None:
         pass  # not glibc
 
 
+#: Settings of the batches that go to Python workers, with Spark's defaults: with whole texts in them, the JVM and the
+#: worker hold a batch several times over, outside the heap.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Makes the session's batches for Python workers smaller, where they are as large as by default."""
+    for name, (default, small) in BATCHES.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, small)
+
+
 def tidied(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """A function for mapInArrow that leaves no unused memory in its worker when a partition ends."""
 
@@ -52,6 +64,7 @@ def tidied(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -128,7 +128,7 @@ def pack(df: DataFrame, key: str, text: str, path: str, end_id: int = END_ID, le
 
     @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = None  # loaded by the first batch; many partitions may be empty
         end = end_id.to_bytes(4, "little")
         base = TaskContext.get().partitionId() << SHIFT
         wide = length * 4
@@ -153,6 +153,7 @@ def pack(df: DataFrame, key: str, text: str, path: str, end_id: int = END_ID, le
             held = 0
 
         for b in batches:
+            encode = encode or encoder(path)
             schema = schema or pa.schema([pa.field("key", b.schema[0].type), *((n, pa.binary() if n == "ids" else pa.int64()) for n in NAMES)])
             for k, t in zip(b[0].to_pylist(), map(pa.StringScalar.as_py, b[1])):
                 ids = encode(t or "") + end
