@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regolith.llm.bpe import BATCH_BYTES, byte_chars
+from regolith.llm.bpe import byte_chars
 from regolith.llm.common import refuse_clash, table, tidied
 
 LENGTH = 2048
@@ -30,6 +30,8 @@ LENGTH = 2048
 QUADRATIC = 2048
 #: A block is packed once it has so many documents, or so many bytes of ids.
 BLOCK, BLOCK_BYTES = 2048, 16 << 20
+#: Bytes of ids of an output batch (one piece more at most), which the worker and the JVM hold several times over.
+BATCH_BYTES = 2 << 20
 END_ID = 1
 #: Characters of a word beyond which tiktoken isn't used.
 LONG_WORD = 2000
@@ -135,20 +137,29 @@ def pack(df: DataFrame, key: str, text: str, path: str, end_id: int = END_ID, le
         schema = None
         rows: list[tuple] = []
         tails: list[tuple] = []
-        held = made = written = 0
-
-        def emit() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-            rows.clear()
-            return batch
+        held = made = waiting = 0
+
+        def emit(least: int) -> Iterator[pa.RecordBatch]:
+            """The pieces so far, in batches, while they have more than `least` bytes of ids."""
+            nonlocal waiting
+            while rows and waiting > least:
+                end = size = 0
+                while end < len(rows) and size < BATCH_BYTES:
+                    size += len(rows[end][3])
+                    end += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[:end]), schema)], schema=schema)
+                del rows[:end]
+                waiting -= size
+                pa.default_memory_pool().release_unused()
 
         def flush() -> None:
-            nonlocal held, made
+            nonlocal held, made, waiting
             pieces = balanced([len(t[2]) // 4 for t in tails], length)
             for i, at, n, s, offset in pieces:
                 k, start, ids, tokens = tails[i]
                 rows.append((k, start + at, n, ids[at * 4 : (at + n) * 4], tokens, base + made + s, offset))
             made += max((p[3] for p in pieces), default=-1) + 1
+            waiting += held
             tails.clear()
             held = 0
 
@@ -164,16 +175,12 @@ def pack(df: DataFrame, key: str, text: str, path: str, end_id: int = END_ID, le
                 if len(ids) > whole * wide:
                     tails.append((k, whole * length, ids[whole * wide :], tokens))
                     held += len(tails[-1][2])
-                written += whole * wide
+                waiting += whole * wide
                 if len(tails) >= BLOCK or held >= BLOCK_BYTES:
-                    written += held
                     flush()
-                if written >= BATCH_BYTES:
-                    yield emit()
-                    written = 0
+                yield from emit(BATCH_BYTES)
         flush()
-        if rows:
-            yield emit()
+        yield from emit(0)
 
     refuse_clash([key], list(NAMES))
     kind = df.schema[key].dataType
