@@ -25,6 +25,17 @@ def resolve_versions(requests: DataFrame, versions: DataFrame) -> DataFrame:
     return out.select("name", "spec", F.when(error.isNull(), found).alias("id"), error.alias("error_code"))
 
 
+def has_subjects(requests: DataFrame, versions: DataFrame) -> DataFrame:
+    """For requests (name): whether there is a live version, and whether there is any, of the subject, or of any subject
+    of the context if the name is a context alone."""
+    asked = requests.select("name", context_of(F.col("name")).alias("ctx"), subject_of(F.col("name")).alias("subject"))
+    each = versions.groupBy("ctx", "subject").agg(F.bool_or(~F.col("deleted")).alias("live"))
+    wide = each.groupBy("ctx").agg(F.bool_or("live").alias("live")).select("ctx", F.lit("").alias("subject"), "live")
+    found = each.unionAll(wide).groupBy("ctx", "subject").agg(F.bool_or("live").alias("live"))
+    out = asked.join(found, ["ctx", "subject"], "left")
+    return out.select("name", F.coalesce("live", F.lit(False)).alias("live"), F.col("live").isNotNull().alias("known"))
+
+
 def _first(priority: list[Column], value: Column) -> Column:
     return F.min_by(value, F.struct(*(p.alias(f"p{i}") for i, p in enumerate(priority))))
 

@@ -35,7 +35,7 @@ def query(sql: str | None) -> Callable:
 
 
 def frame(r: Registry, rows: list[tuple], schema: str) -> DataFrame:
-    return r.versions.sparkSession.createDataFrame(rows, schema)
+    return r.spark.createDataFrame(rows, schema)
 
 
 def values(rows: list[tuple]) -> str:
@@ -181,6 +181,18 @@ def resolve_versions(r: Registry) -> DataFrame:
     return resolution.resolve_versions(frame(r, ASKED, "name string, spec string"), r.versions)
 
 
+NAMED = [(n,) for n in ("click-value", "nothing", ":.eu:", ":.us:view-value", ":.none:", ":.eu:nothing")]
+#: The same names in parts.
+NAMED_PARTS = [("click-value", ".", "click-value"), ("nothing", ".", "nothing"), (":.eu:", ".eu", ""), (":.us:view-value", ".us", "view-value"), (":.none:", ".none", ""), (":.eu:nothing", ".eu", "nothing")]
+
+
+@query(f"""
+    SELECT name, coalesce(bool_or(NOT v.deleted), false) AS live, count(v.version) > 0 AS known FROM (VALUES {values(NAMED_PARTS)}) n(name, c, s)
+    LEFT JOIN versions v ON v.ctx = c AND (v.subject = s OR s = '') GROUP BY name""")
+def existing_subjects(r: Registry) -> DataFrame:
+    return resolution.has_subjects(frame(r, NAMED, "name string"), r.versions)
+
+
 @query("""
     SELECT name, ctx FROM (SELECT n.name, v.ctx, row_number() OVER (PARTITION BY n.name ORDER BY v.ctx <> '.', v.ctx) AS rn
     FROM (SELECT DISTINCT subject AS name FROM versions UNION SELECT 'nothing') n JOIN (SELECT DISTINCT ctx, subject FROM versions WHERE NOT deleted AND (ctx <> '.' OR subject <> 'view-value')) v ON v.subject = n.name) x WHERE rn = 1""")

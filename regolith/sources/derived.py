@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from regolith.operators.registration import positions
 
 #: What the two engines spell differently: a zero character, SHA-256 in hex, epoch milliseconds of a timestamp.
 SPARK = {
@@ -84,37 +87,52 @@ def _filled(sql: str, spell: dict[str, str]) -> str:
     return sql.replace("{ms_ts}", spell["ms"].format("ts")).replace("{fingerprint}", spell["sha"].format(payload))
 
 
-@dataclass(frozen=True)
+TABLES = ("events", "region", "nation", "supplier", "orders", "customer")
+
+
 class Registry:
-    """The relations of a registry; what a query doesn't touch is never read."""
+    """The relations of a registry as attributes; each is built when it is first asked for, and what a query doesn't
+    touch is never read.
+
+    Spark numbers ids and versions by positions, since a window would put a whole context in one task."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self._sf_dir = spark, sf_dir
+        self._known: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in RELATIONS:
+            raise AttributeError(name)
+        return self._relation(name)
+
+    def _relation(self, name: str) -> DataFrame:
+        if name not in self._known:
+            own = {"ids": self._ids, "versions": self._versions}
+            self._known[name] = own[name]() if name in own else self._read(name) if name in TABLES else self._derived(name)
+        return self._known[name]
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self._sf_dir}/{name}.parquet")
+
+    def _derived(self, name: str) -> DataFrame:
+        names = "|".join([*TABLES, *RELATIONS])
+        text, before = _filled(RELATIONS[name], SPARK), rf"\b(FROM|JOIN) ({names})\b"
+        used = {m[1] for m in re.findall(before, text)}
+        return self.spark.sql(re.sub(before, r"\1 {\2}", text), **{k: self._relation(k) for k in used})
+
+    def _ids(self) -> DataFrame:
+        first = self.content.groupBy("ctx", "fp").agg(F.min("content").alias("content"), F.min("seq").alias("seq"))
+        return positions(first, ["ctx"], ["seq"], "id").select("ctx", "fp", "content", "id")
 
-    requests: DataFrame
-    content: DataFrame
-    ids: DataFrame
-    versions: DataFrame
-    schemas: DataFrame
-    refs: DataFrame
-    subjects: DataFrame
-    scopes: DataFrame
-    edges: DataFrame
-    log: DataFrame
-    http: DataFrame
+    def _versions(self) -> DataFrame:
+        first = self.content.groupBy("ctx", "subject", "fp").agg(F.min("seq").alias("seq"), F.min("ts").alias("ts"))
+        numbered = positions(first, ["ctx", "subject"], ["seq"], "version").join(self.ids.select("ctx", "fp", "id"), ["ctx", "fp"])
+        return numbered.select("ctx", "subject", "version", "id", (F.col("seq") % 4 == 0).alias("deleted"), "ts", "seq")
 
 
 def registry(spark: SparkSession, sf_dir: str) -> Registry:
     """The derived registry over a folder of the driver's tables."""
-    known = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "region", "nation", "supplier", "orders", "customer")}
-    for name, sql in RELATIONS.items():
-        text = _filled(sql, SPARK)
-        used = {k: v for k, v in known.items() if f" {k}" in text}
-        for k in used:
-            for before in ("FROM ", "JOIN "):
-                text = text.replace(f"{before}{k} ", f"{before}{{{k}}} ").replace(f"{before}{k}\n", f"{before}{{{k}}}\n")
-                if text.endswith(f"{before}{k}"):
-                    text = text[: -len(k)] + f"{{{k}}}"
-        used = {k: v for k, v in used.items() if f"{{{k}}}" in text}
-        known[name] = spark.sql(text, **used)
-    return Registry(**{f.name: known[f.name] for f in fields(Registry)})
+    return Registry(spark, sf_dir)
 
 
 def with_relations(select: str) -> str:
