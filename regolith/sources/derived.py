@@ -53,11 +53,12 @@ RELATIONS = {
         UNION ALL SELECT 'context', '.eu', '', 'FULL', NULL, 'READONLY' FROM region WHERE r_regionkey = 3
         UNION ALL SELECT 'context', '.us', '', NULL, NULL, 'READWRITE' FROM region WHERE r_regionkey = 1
         UNION ALL
-        SELECT 'subject', CASE n_nationkey % 3 WHEN 0 THEN '.' WHEN 1 THEN '.eu' ELSE '.us' END,
-               CASE n_nationkey % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'error' WHEN 3 THEN 'signup' ELSE 'purchase' END || '-value',
-               CASE n_regionkey WHEN 0 THEN 'NONE' WHEN 1 THEN 'FORWARD' WHEN 2 THEN 'FULL_TRANSITIVE' ELSE NULL END, NULL,
-               CASE n_nationkey % 4 WHEN 0 THEN 'IMPORT' WHEN 1 THEN 'READONLY' ELSE NULL END
-        FROM nation
+        SELECT 'subject', ctx, subject, max(level), NULL, max(mode) FROM (
+        SELECT CASE n_nationkey % 3 WHEN 0 THEN '.' WHEN 1 THEN '.eu' ELSE '.us' END AS ctx,
+               CASE n_nationkey % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'error' WHEN 3 THEN 'signup' ELSE 'purchase' END || '-value' AS subject,
+               CASE n_regionkey WHEN 0 THEN 'NONE' WHEN 1 THEN 'FORWARD' WHEN 2 THEN 'FULL_TRANSITIVE' ELSE NULL END AS level,
+               CASE n_nationkey % 4 WHEN 0 THEN 'IMPORT' WHEN 1 THEN 'READONLY' ELSE NULL END AS mode
+        FROM nation) n GROUP BY ctx, subject
         UNION ALL
         SELECT 'subject', CASE s_suppkey % 3 WHEN 0 THEN '.' WHEN 1 THEN '.eu' ELSE '.us' END, s_name, NULL,
                CASE s_suppkey % 4 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'gone' ELSE 'error' END || '-value', NULL
